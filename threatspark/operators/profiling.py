@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from threatspark import schemas as S, skew
 from threatspark.functions.numeric import is_infinite, is_missing, variation
@@ -78,42 +81,46 @@ def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return stats.select("column", corrected_skew.alias("skewness"), corrected_kurt.alias("kurtosis"))
 
 
-def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair (first before second), in one pass."""
-    columns = list(columns or numeric_columns(df))
-    pairs = [
-        F.struct(
-            F.lit(a).alias("feature_a"),
-            F.lit(b).alias("feature_b"),
-            F.lit(i).alias("a_no"),
-            F.lit(j).alias("b_no"),
-            F.corr(q(a).cast("double"), q(b).cast("double")).alias("r"),
-        )
+def _pearson(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str, float | None]]:
+    """All entries of the correlation matrix (columns squared values) from one distributed pass.
+
+    Rows with a gap in any of the columns are left out. A constant column has no correlation.
+    """
+    rows = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
+    names = rows.columns
+    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(rows).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    return [
+        (a, b, None if math.isnan(matrix[i][j]) else float(matrix[i][j]))
         for i, a in enumerate(columns)
         for j, b in enumerate(columns)
-        if i < j
     ]
-    return df.agg(F.array(*pairs).alias("_p")).select(F.inline("_p"))
+
+
+def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Pearson correlation of every column pair (first before second); null for constant columns."""
+    columns = list(columns or numeric_columns(df))
+    order = {c: i for i, c in enumerate(columns)}
+    pairs = [p for p in _pearson(df, columns) if order[p[0]] < order[p[1]]]
+    return df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Full matrix, one row per feature. A constant column has no correlation with anything."""
+    """Full matrix, one row per feature."""
     columns = list(columns or numeric_columns(df))
-    pairs = correlations(df, columns).select("feature_a", "feature_b", "r")
-    both = pairs.unionByName(pairs.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "r"))
-    spread = _wide(df, columns, lambda c: [F.var_pop(c).alias("v")])
-    diagonal = spread.select(
-        F.col("column").alias("feature_a"), F.col("column").alias("feature_b"), F.when(F.col("v") > 0, 1.0).alias("r")
-    )
-    return both.unionByName(diagonal).groupBy(F.col("feature_a").alias("feature")).pivot("feature_b", columns).agg(
-        F.max("r")
+    cells = _pearson(df, columns)
+    width = len(columns)
+    rows = [(columns[i], *[cells[i * width + j][2] for j in range(width)]) for i in range(width)]
+    schema = T.StructType(
+        [T.StructField("feature", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in columns]
     )
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def correlated_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.85) -> DataFrame:
     """Pairs with |r| at or above the threshold; the second of a pair is the redundant one."""
     pairs = correlations(df, columns)
-    return pairs.where(~F.isnan("r") & (F.abs("r") >= threshold)).select("feature_a", "feature_b", "r")
+    return pairs.where(F.abs("r") >= threshold)
 
 
 def spread_audit(

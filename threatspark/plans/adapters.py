@@ -208,14 +208,14 @@ def dns_queries(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-QUERIES_SQL = f"""{DOMAINS_SQL},
-dq AS (
+QUERY_LOG_SQL = f"""dq AS (
   SELECT e.event_id AS seq, epoch_us(e.ts) // {FLOW_SCALE} AS t_us, 'h' || CAST(user_id // 15 AS VARCHAR) AS src_ip,
          CASE event_type
            WHEN 'error' THEN substr(md5(CAST(event_id AS VARCHAR)), 1, CAST(event_id % 8 + 8 AS INT)) || '.biz'
            WHEN 'signup' THEN md5(CAST(event_id AS VARCHAR)) || '.x.example.com'
            ELSE regexp_extract(p.url, '{HOST}', 1) END AS domain
   FROM events e LEFT JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages))"""
+QUERIES_SQL = f"{DOMAINS_SQL}, {QUERY_LOG_SQL}"
 
 
 def handshakes(spark: SparkSession, path: str) -> DataFrame:
