@@ -158,13 +158,16 @@ def _chunk_starts(ch: skew.Chunked, keys: list[str], order: list[str], value: st
         + [T.StructField(n, T.DoubleType()) for n in ("_first", "_b", "_vv", "_mv", "_mm")]
     )
 
-    def effect(xs: np.ndarray, mean: float) -> tuple[float, float, float, float]:
-        """Mean and variance effect of a run of values on a start state (mean taken as given)."""
+    def effect(xs: np.ndarray) -> tuple[float, float, float, float]:
+        """What a run of values makes of a start state.
+
+        Values are taken relative to the first one. With ``e`` the start mean relative to it, ``v`` the start
+        variance and ``w`` the weight left of the start: mean = b + w*e, variance = w*v + vv - 2*e*mv + e*e*mm.
+        """
         keep = 1.0 - alpha
-        b, vv = mean, 0.0
-        mv = mm = 0.0
+        b = vv = mv = mm = 0.0
         power = 1.0
-        for x in xs.tolist():
+        for x in (xs - xs[0]).tolist():
             d = x - b
             vv = keep * (vv + alpha * d * d)
             mv = keep * (mv + alpha * d * power)
@@ -176,10 +179,7 @@ def _chunk_starts(ch: skew.Chunked, keys: list[str], order: list[str], value: st
     def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort")
         xs = pdf[value].astype("float64").to_numpy()
-        if key[-1] == 0:  # the key's first chunk knows its start
-            b, vv, mv, mm = effect(xs[1:], float(xs[0]))
-        else:
-            b, vv, mv, mm = effect(xs, 0.0)
+        b, vv, mv, mm = effect(xs)
         row = [*key, len(xs), float(xs[0]), b, vv, mv, mm]
         return pd.DataFrame([row], columns=[f.name for f in summary_schema.fields])
 
@@ -201,14 +201,11 @@ def _chunk_starts(ch: skew.Chunked, keys: list[str], order: list[str], value: st
         for r in pdf.itertuples(index=False):
             f = dict(zip(pdf.columns, r))
             out.append([*key, f[skew.CHUNK], n, m, v])
-            if n == 0 and f[skew.CHUNK] == 0:
-                m, v = f["_b"], f["_vv"]
-            else:
-                if n == 0:  # chunk 0 was empty: replay its seed rule on the first value
-                    m, v = f["_first"], 0.0
-                decay = (1.0 - alpha) ** f["_rows"]
-                v = decay * v + f["_vv"] - 2.0 * m * f["_mv"] + m * m * f["_mm"]
-                m = f["_b"] + decay * m
+            if n == 0:  # the key's first value is its own start
+                m, v = f["_first"], 0.0
+            weight, e = (1.0 - alpha) ** f["_rows"], m - f["_first"]
+            v = max(weight * v + f["_vv"] - 2.0 * e * f["_mv"] + e * e * f["_mm"], 0.0)
+            m = f["_first"] + f["_b"] + weight * e
             n += f["_rows"]
         return pd.DataFrame(out, columns=[f.name for f in start_schema.fields])
 
