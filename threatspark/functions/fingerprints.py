@@ -13,7 +13,7 @@ def strip_grease(values: Column) -> Column:
 
 
 def _dashed(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: v.cast("string")), "-")
+    return F.array_join(values.cast("array<string>"), "-")
 
 
 def ja3(version: Column, ciphers: Column, extensions: Column, curves: Column, formats: Column) -> Column:

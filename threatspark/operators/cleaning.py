@@ -111,17 +111,20 @@ def assert_clean(df: DataFrame) -> DataFrame:
     return df
 
 
+# Blanks of every kind, underscore and hyphen.
+IGNORED_IN_LABELS = "_- \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
+
+
 def label_key(label: Column) -> Column:
-    return F.lower(F.regexp_replace(label.cast("string"), "[\\s_\\-]", ""))
+    return F.lower(F.translate(label.cast("string"), IGNORED_IN_LABELS, ""))
 
 
 def canonical_label(label: Column, names: Sequence[str] = S.FLOW_LABELS) -> Column:
     """Contract spelling of a label, null outside the contract."""
-    key = label_key(label)
-    out = F.lit(None).cast("string")
-    for name in names:
-        out = F.when(key == "".join(name.lower().split()).replace("_", "").replace("-", ""), F.lit(name)).otherwise(out)
-    return out
+    pairs = [(name.lower().translate({ord(c): None for c in IGNORED_IN_LABELS}), name) for name in names]
+    return F.element_at(F.create_map(*[F.lit(x) for pair in pairs for x in pair]), label_key(label))
 
 
 def scope_labels(df: DataFrame, target: str = S.TARGET, names: Sequence[str] = S.FLOW_LABELS) -> DataFrame:

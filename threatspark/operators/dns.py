@@ -215,41 +215,48 @@ def classify_queries(queries: DataFrame, verdicts: DataFrame, *, seq: str, **tun
     ).drop("_name", "_dga", "_reason", "_confidence", "_entropy", "_ngram", "recent_queries")
 
 
-def calibrate_threshold(
-    scores: DataFrame,
-    *,
-    higher_is_malicious: bool = True,
-    benign_weight: float = 1.0,
-    chunk_rows: int | None = None,
+def calibrate_thresholds(
+    scores: DataFrame, measures: dict[str, tuple[bool, float]], *, chunk_rows: int | None = None
 ) -> DataFrame:
-    """One row ``(threshold, accuracy)``: the observed score that separates best at the given cost.
+    """One row ``(measure, threshold, accuracy)`` per measure: the observed score that separates best.
 
-    ``scores`` has ``score`` and ``malicious``. Rows of equal score are counted first; the sweep is a
-    running sum over distinct scores, cut into score ranges if there are very many.
+    ``scores`` has ``measure``, ``score`` and ``malicious``; ``measures`` tells for each measure whether high
+    scores are malicious and how much a benign row weighs. Rows of equal score are counted first; the
+    sweep is a running sum over distinct scores, cut into score ranges if there are very many.
     """
     bad = F.col("malicious").cast("long")
-    freq = scores.groupBy("score").agg(F.sum(bad).alias("bad"), F.sum(1 - bad).alias("good"))
+    freq = scores.groupBy("measure", "score").agg(F.sum(bad).alias("bad"), F.sum(1 - bad).alias("good"))
     swept = skew.with_running(
-        skew.chunked(freq, [], ["score"], chunk_rows=chunk_rows),
+        skew.chunked(freq, ["measure"], ["score"], chunk_rows=chunk_rows),
         sums={"bad_upto": F.col("bad"), "good_upto": F.col("good")},
     ).done()
-    totals = freq.agg(F.struct(F.sum("bad").alias("bad"), F.sum("good").alias("good")).alias("t"))
-    swept = swept.withColumn("_t", totals.scalar())
-    all_bad, all_good = F.col("_t.bad"), F.col("_t.good")
-    if higher_is_malicious:
-        hits = all_bad - F.col("bad_upto") + F.col("bad")
-        passes = F.col("good_upto") - F.col("good")
-    else:
-        hits = F.col("bad_upto")
-        passes = all_good - F.col("good_upto")
-    weighted = (hits + F.lit(float(benign_weight)) * passes) / (all_bad + F.lit(float(benign_weight)) * all_good)
-    accuracy = (hits + passes) / (all_bad + all_good)
-    return (
-        swept.select(F.col("score").alias("threshold"), accuracy.alias("accuracy"), weighted.alias("_w"))
-        .orderBy(F.desc("_w"), "threshold")
-        .limit(1)
-        .drop("_w")
+    totals = scores.groupBy("measure").agg(F.sum(bad).alias("all_bad"), F.sum(1 - bad).alias("all_good"))
+    swept = swept.join(F.broadcast(totals), "measure")  # one row per measure
+    higher, weight = F.lit(None).cast("boolean"), F.lit(None).cast("double")
+    for name, (is_higher, benign_weight) in measures.items():
+        higher = F.when(F.col("measure") == name, F.lit(is_higher)).otherwise(higher)
+        weight = F.when(F.col("measure") == name, F.lit(float(benign_weight))).otherwise(weight)
+    hits = F.when(higher, F.col("all_bad") - F.col("bad_upto") + F.col("bad")).otherwise(F.col("bad_upto"))
+    passes = F.when(higher, F.col("good_upto") - F.col("good")).otherwise(F.col("all_good") - F.col("good_upto"))
+    weighted = (hits + weight * passes) / (F.col("all_bad") + weight * F.col("all_good"))
+    accuracy = (hits + passes) / (F.col("all_bad") + F.col("all_good"))
+    best = swept.groupBy("measure").agg(
+        F.max_by(F.struct(F.col("score").alias("threshold"), accuracy.alias("accuracy")), F.struct(weighted, -F.col("score"))).alias("b")
     )
+    return best.select("measure", "b.threshold", "b.accuracy")
+
+
+def calibrate_threshold(
+    scores: DataFrame,
+    *,
+    higher_is_malicious: bool = True,
+    benign_weight: float = 1.0,
+    chunk_rows: int | None = None,
+) -> DataFrame:
+    """One row ``(threshold, accuracy)`` for ``scores`` with ``score`` and ``malicious``."""
+    rows = scores.select(F.lit("score").alias("measure"), "score", "malicious")
+    picked = calibrate_thresholds(rows, {"score": (higher_is_malicious, benign_weight)}, chunk_rows=chunk_rows)
+    return picked.drop("measure")
 
 
 def score_summary(scores: DataFrame, column: str) -> DataFrame:
@@ -303,12 +310,17 @@ def calibrate(
     )
     scores = both.join(score_domains(both, model, n), "domain")
 
-    def pick(measure: str, column: str, **kw) -> DataFrame:
-        value = F.col(column) if decimals is None else F.round(column, decimals)
-        best = calibrate_threshold(scores.select(value.alias("score"), "malicious"), **kw)
-        return best.select(F.lit(measure).alias("measure"), "threshold", "accuracy")
-
-    thresholds = pick("entropy", "entropy", benign_weight=entropy_weight).unionByName(
-        pick("ngram", "ngram_score", higher_is_malicious=False)
+    def score(column: str) -> Column:
+        return F.col(column) if decimals is None else F.round(column, decimals)
+
+    long = scores.select(
+        "malicious",
+        F.inline(
+            F.array(
+                F.struct(F.lit("entropy").alias("measure"), score("entropy").alias("score")),
+                F.struct(F.lit("ngram").alias("measure"), score("ngram_score").alias("score")),
+            )
+        ),
     )
+    thresholds = calibrate_thresholds(long, {"entropy": (True, entropy_weight), "ngram": (False, 1.0)})
     return DnsCalibration(malicious, allowlist(ranked, allow_size), model, thresholds)

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatspark import schemas as S, skew
 from threatspark.functions.numeric import is_infinite, is_missing, variation
@@ -35,23 +32,27 @@ def label_distribution(df: DataFrame, target: str = S.TARGET) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None, *, group_rows: int | None = None) -> DataFrame:
     """Count, mean, std, min, quartiles (linear) and max per column."""
     columns = list(columns or numeric_columns(df))
-    base = _wide(
-        df,
-        columns,
-        lambda c: [
+    fields = ["column", "count", "mean", "std", "min", "q25", "median", "q75", "max"]
+    small = group_rows is None and skew.is_small(df)
+
+    def measures(c: Column) -> list[Column]:
+        out = [
             F.count(c).alias("count"),
             F.avg(c).alias("mean"),
             F.stddev_samp(c).alias("std"),
             F.min(c).alias("min"),
             F.max(c).alias("max"),
-        ],
-    )
+        ]
+        return out + [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p")] if small else out
+
+    base = _wide(df, columns, measures)
+    if small:
+        named = {"q25": F.get("_p", 0), "median": F.get("_p", 1), "q75": F.get("_p", 2)}
+        return base.withColumns(named).select(*fields)
     quartiles = quantile_columns(
         unpivot(df, columns), ["column"], {"q25": 0.25, "median": 0.5, "q75": 0.75}, group_rows=group_rows
     )
-    return base.join(quartiles, "column", "left").select(
-        "column", "count", "mean", "std", "min", "q25", "median", "q75", "max"
-    )
+    return base.join(quartiles, "column", "left").select(*fields)
 
 
 def quantile_columns(
@@ -81,40 +82,45 @@ def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return stats.select("column", corrected_skew.alias("skewness"), corrected_kurt.alias("kurtosis"))
 
 
-def _pearson(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, str, float | None]]:
-    """All entries of the correlation matrix (columns squared values) from one distributed pass.
+def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with the covariance of every pair and the deviation of every column, from one pass.
 
-    Rows with a gap in any of the columns are left out. A constant column has no correlation.
+    Rows with a gap in any of the columns are left out, so a column's deviation serves all its pairs.
     """
     rows = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
-    names = rows.columns
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(rows).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    return [
-        (a, b, None if math.isnan(matrix[i][j]) else float(matrix[i][j]))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-    ]
+    n = len(columns)
+    spreads = [F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(n)]
+    joint = [F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i in range(n) for j in range(i + 1, n)]
+    return rows.agg(*spreads, *joint)
+
+
+def _r(i: int, j: int) -> Column:
+    """Correlation from the moments; null for a constant column."""
+    i, j = min(i, j), max(i, j)
+    r = F.lit(1.0) if i == j else F.col(f"v{i}_{j}") / (F.col(f"s{i}") * F.col(f"s{j}"))
+    return F.when((F.col(f"s{i}") > 0) & (F.col(f"s{j}") > 0), r)
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair (first before second); null for constant columns."""
     columns = list(columns or numeric_columns(df))
-    order = {c: i for i, c in enumerate(columns)}
-    pairs = [p for p in _pearson(df, columns) if order[p[0]] < order[p[1]]]
-    return df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")
+    pairs = [
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), _r(i, j).alias("r"))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+        if i < j
+    ]
+    return _moments(df, columns).select(F.inline(F.array(*pairs)))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Full matrix, one row per feature."""
     columns = list(columns or numeric_columns(df))
-    cells = _pearson(df, columns)
-    width = len(columns)
-    rows = [(columns[i], *[cells[i * width + j][2] for j in range(width)]) for i in range(width)]
-    schema = T.StructType(
-        [T.StructField("feature", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in columns]
-    )
-    return df.sparkSession.createDataFrame(rows, schema)
+    rows = [
+        F.struct(F.lit(a).alias("feature"), *[_r(i, j).alias(b) for j, b in enumerate(columns)])
+        for i, a in enumerate(columns)
+    ]
+    return _moments(df, columns).select(F.inline(F.array(*rows)))
 
 
 def correlated_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.85) -> DataFrame:
