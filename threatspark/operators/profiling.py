@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatspark import schemas as S, skew
@@ -82,45 +85,83 @@ def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return stats.select("column", corrected_skew.alias("skewness"), corrected_kurt.alias("kurtosis"))
 
 
-def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the covariance of every pair and the deviation of every column, from one pass.
+_MOMENTS = "slot int, n long, mean array<double>, m array<double>"
+_SLOTS = 64
+
+
+def _merge(a: tuple | None, b: tuple) -> tuple:
+    """Count, means and co-moments of two sets of rows taken together."""
+    if a is None:
+        return b
+    (na, ma, ca), (nb, mb, cb) = a, b
+    n, shift = na + nb, mb - ma
+    return n, ma + shift * (nb / n), ca + cb + np.outer(shift, shift) * (na * nb / n)
 
-    Rows with a gap in any of the columns are left out, so a column's deviation serves all its pairs.
-    """
-    rows = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).na.drop()
-    n = len(columns)
-    spreads = [F.stddev_pop(f"c{i}").alias(f"s{i}") for i in range(n)]
-    joint = [F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i in range(n) for j in range(i + 1, n)]
-    return rows.agg(*spreads, *joint)
 
+def _correlated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``feature_a, feature_b, r`` for all ordered column pairs, in one pass over the rows.
 
-def _r(i: int, j: int) -> Column:
-    """Correlation from the moments; null for a constant column."""
-    i, j = min(i, j), max(i, j)
-    r = F.lit(1.0) if i == j else F.col(f"v{i}_{j}") / (F.col(f"s{i}") * F.col(f"s{j}"))
-    return F.when((F.col(f"s{i}") > 0) & (F.col(f"s{j}") > 0), r)
+    Each task sums up its rows into one co-moment matrix; the matrices are merged in two levels. Rows with
+    a gap in any column are left out, and a constant column has no correlation.
+    """
+    names = list(columns)
+    size = len(names)
+    rows = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+
+    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64", na_value=np.nan)
+            x = x[~np.isnan(x).any(axis=1)]
+            if not len(x):
+                continue
+            origin = x[0].copy()  # a constant column stays exactly constant
+            x = x - origin
+            mean = x.mean(axis=0)
+            centred = x - mean
+            total = _merge(total, (len(x), origin + mean, centred.T @ centred))
+        if total is not None:
+            slot = TaskContext.get().partitionId() % _SLOTS
+            yield pd.DataFrame([[slot, total[0], total[1], total[2].ravel()]], columns=["slot", "n", "mean", "m"])
+
+    def merged(pdf: pd.DataFrame) -> tuple:
+        total = None
+        for r in pdf.itertuples(index=False):
+            total = _merge(total, (r.n, np.asarray(r.mean), np.asarray(r.m).reshape(size, size)))
+        return total
+
+    def merge_slot(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, mean, m = merged(pdf)
+        return pd.DataFrame([[0, n, mean, m.ravel()]], columns=["slot", "n", "mean", "m"])
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, _, m = merged(pdf)
+        spread = np.sqrt(np.diag(m))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = m / np.outer(spread, spread)
+        np.fill_diagonal(r, 1.0)
+        flat = (spread == 0)[:, None] | (spread == 0)[None, :]
+        cells = [(a, b, None if flat[i, j] else r[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)]
+        return pd.DataFrame(cells, columns=["feature_a", "feature_b", "r"])
+
+    partial = rows.mapInPandas(sum_up, _MOMENTS)
+    per_slot = partial.groupBy("slot").applyInPandas(merge_slot, _MOMENTS)
+    return per_slot.groupBy("slot").applyInPandas(finish, "feature_a string, feature_b string, r double")
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair (first before second); null for constant columns."""
     columns = list(columns or numeric_columns(df))
-    pairs = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), _r(i, j).alias("r"))
-        for i, a in enumerate(columns)
-        for j, b in enumerate(columns)
-        if i < j
-    ]
-    return _moments(df, columns).select(F.inline(F.array(*pairs)))
+    place = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(i))])
+    cells = _correlated(df, columns)
+    return cells.where(F.element_at(place, F.col("feature_a")) < F.element_at(place, F.col("feature_b")))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Full matrix, one row per feature."""
     columns = list(columns or numeric_columns(df))
-    rows = [
-        F.struct(F.lit(a).alias("feature"), *[_r(i, j).alias(b) for j, b in enumerate(columns)])
-        for i, a in enumerate(columns)
-    ]
-    return _moments(df, columns).select(F.inline(F.array(*rows)))
+    cells = _correlated(df, columns)
+    return cells.groupBy(F.col("feature_a").alias("feature")).pivot("feature_b", columns).agg(F.max("r"))
 
 
 def correlated_pairs(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.85) -> DataFrame:
