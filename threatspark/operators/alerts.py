@@ -214,7 +214,7 @@ def suppress_repeats(
     A suppressed hit also restarts the window, so only the distance to the previous hit counts.
     """
     rows = hits.withColumn("_t", F.unix_micros(time))
-    ch = skew.chunked(rows, keys, ["_t", *seq], chunk_rows=chunk_rows)
+    ch = skew.chunked(rows, keys, ["_t", *seq], chunk_rows=chunk_rows, settle=True)
     ch = skew.with_previous(ch, ["_t"])
     repeat = F.coalesce(F.col("_t") - F.col("prev__t") < int(round(window_seconds * 1_000_000)), F.lit(False))
     out = ch.done().withColumn("suppressed", repeat).drop("_t", "prev__t")

@@ -105,7 +105,7 @@ def score_drift(
     summaries are made in parallel, chained per key (one row per chunk), and every chunk is then scored
     from its own start state.
     """
-    ch = skew.chunked(rows, keys, order, chunk_rows=chunk_rows)
+    ch = skew.chunked(rows, keys, order, chunk_rows=chunk_rows, settle=True)
     fields = [T.StructField(c, rows.schema[c].dataType) for c in rows.columns]
     schema = T.StructType(fields + [T.StructField(n, t) for n, t in _SCORES.items()])
     start = {"_n0": T.LongType(), "_m0": T.DoubleType(), "_v0": T.DoubleType()}

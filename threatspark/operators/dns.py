@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatspark import schemas as S, skew
 from threatspark.functions.text import (
@@ -37,27 +37,27 @@ def ngram_model(benign: DataFrame, n: int = S.NGRAM_SIZE, *, check: bool = True)
     return seen.unionByName(unseen)
 
 
-def score_labels(domains: DataFrame, model: DataFrame, n: int = S.NGRAM_SIZE) -> DataFrame:
-    """Mean log-probability of the n-grams of each distinct first label: ``label``, ``ngram_score``."""
+def with_ngram_score(
+    domains: DataFrame, model: DataFrame, n: int = S.NGRAM_SIZE, *, only: Column | None = None
+) -> DataFrame:
+    """Add ``ngram_score``, the mean log-probability of the n-grams of the first label.
+
+    ``domains`` must hold each domain once. Rows outside ``only`` are not scored. The n-grams stay with
+    their domain, so the grouping needs no other partitioning than the one the domains have.
+    """
     unseen = model.where(F.col("gram") == UNSEEN).agg(F.max("logp")).scalar()
-    distinct = domains.select(first_label(F.col("domain")).alias("label")).distinct()
-    grams = distinct.select("label", F.explode_outer(ngrams(F.col("label"), n)).alias("gram"))
-    return (
-        grams.join(model.where(F.col("gram") != UNSEEN), "gram", "left")
-        .groupBy("label")
-        .agg(F.avg(F.coalesce("logp", unseen)).alias("ngram_score"))
-    )
+    wanted = F.lit(True) if only is None else only
+    grams = F.when(wanted, ngrams(first_label(F.col("domain")), n))
+    rows = domains.select("*", wanted.alias("_wanted"), F.explode_outer(grams).alias("gram"))
+    scored = rows.join(model.where(F.col("gram") != UNSEEN), "gram", "left")
+    out = scored.groupBy(*domains.columns, "_wanted").agg(F.avg(F.coalesce("logp", unseen)).alias("_score"))
+    return out.select(*domains.columns, F.when(F.col("_wanted"), F.col("_score")).alias("ngram_score"))
 
 
 def score_domains(domains: DataFrame, model: DataFrame, n: int = S.NGRAM_SIZE) -> DataFrame:
     """Distinct domains with ``entropy`` and ``ngram_score`` (not rounded)."""
-    distinct = domains.select("domain").distinct()
-    scores = score_labels(distinct, model, n)
-    return (
-        distinct.withColumns({"label": first_label(F.col("domain")), "entropy": shannon_entropy(F.col("domain"))})
-        .join(scores, "label", "left")
-        .drop("label")
-    )
+    scored = with_ngram_score(domains.select("domain").distinct(), model, n)
+    return scored.select("domain", shannon_entropy(F.col("domain")).alias("entropy"), "ngram_score")
 
 
 def allowlist(ranked: DataFrame, size: int = S.ALLOWLIST_SIZE) -> DataFrame:
@@ -67,10 +67,10 @@ def allowlist(ranked: DataFrame, size: int = S.ALLOWLIST_SIZE) -> DataFrame:
 
 def mark_allowed(domains: DataFrame, allowed: DataFrame, flag: str = "allowed") -> DataFrame:
     """Flag domains that are, or lie under, an allowed domain. ``domains`` must be distinct."""
-    parents = domains.select("domain", F.explode(suffixes(F.col("domain"))).alias("_suffix"))
-    names = allowed.select(F.col("domain").alias("_suffix"))
-    hits = parents.join(names, "_suffix", "left_semi").select("domain").distinct().withColumn(flag, F.lit(True))
-    return domains.join(hits, "domain", "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
+    parents = domains.select("*", F.explode(suffixes(F.col("domain"))).alias("_suffix"))
+    names = allowed.select(F.col("domain").alias("_suffix")).distinct().withColumn("_hit", F.lit(True))
+    marked = parents.join(names, "_suffix", "left").groupBy(*domains.columns)
+    return marked.agg(F.coalesce(F.max("_hit"), F.lit(False)).alias(flag))
 
 
 def classify_domains(
@@ -98,9 +98,8 @@ def classify_domains(
         F.col("allowed"), "allowlisted"
     )
     rows = rows.withColumn("_decided", decided)
-    scores = score_labels(rows.where(F.col("_decided").isNull()).select("domain"), model, n)
-    rows = rows.withColumn("_label", F.when(F.col("_decided").isNull(), first_label(F.col("domain"))))
-    rows = rows.join(scores, rows["_label"] == scores["label"], "left").drop("label", "_label")
+    rows = rows.select("domain", "_decided")
+    rows = with_ngram_score(rows, model, n, only=F.col("_decided").isNull())
     rows = rows.withColumn("entropy", F.when(F.col("_decided").isNull(), shannon_entropy(F.col("domain"))))
     high = F.col("entropy") >= _lit(entropy_threshold)
     odd = F.col("ngram_score") <= _lit(ngram_threshold)
@@ -226,12 +225,14 @@ def calibrate_thresholds(
     """
     bad = F.col("malicious").cast("long")
     freq = scores.groupBy("measure", "score").agg(F.sum(bad).alias("bad"), F.sum(1 - bad).alias("good"))
-    swept = skew.with_running(
-        skew.chunked(freq, ["measure"], ["score"], chunk_rows=chunk_rows),
-        sums={"bad_upto": F.col("bad"), "good_upto": F.col("good")},
-    ).done()
-    totals = scores.groupBy("measure").agg(F.sum(bad).alias("all_bad"), F.sum(1 - bad).alias("all_good"))
-    swept = swept.join(F.broadcast(totals), "measure")  # one row per measure
+    ch = skew.chunked(freq, ["measure"], ["score"], chunk_rows=chunk_rows, settle=True)
+    swept = skew.with_running(ch, sums={"bad_upto": F.col("bad"), "good_upto": F.col("good")}).done()
+    if ch.hot:
+        totals = ch.df.groupBy("measure").agg(F.sum("bad").alias("all_bad"), F.sum("good").alias("all_good"))
+        swept = swept.join(F.broadcast(totals), "measure")  # one row per measure
+    else:
+        whole = Window.partitionBy("measure")
+        swept = swept.withColumns({"all_bad": F.sum("bad").over(whole), "all_good": F.sum("good").over(whole)})
     higher, weight = F.lit(None).cast("boolean"), F.lit(None).cast("double")
     for name, (is_higher, benign_weight) in measures.items():
         higher = F.when(F.col("measure") == name, F.lit(is_higher)).otherwise(higher)

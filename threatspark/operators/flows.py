@@ -107,11 +107,11 @@ def with_batch_cardinalities(flows: DataFrame) -> DataFrame:
 def with_running_cardinalities(flows: DataFrame, *, chunk_rows: int | None = None) -> DataFrame:
     """Destinations and ports a source has contacted up to and including each flow, in close order."""
     order = ["last_us", "flow_id"]
-    ch = skew.chunked(flows, ["src_ip"], order, chunk_rows=chunk_rows)
+    ch = skew.chunked(flows, ["src_ip"], order, chunk_rows=chunk_rows, settle=True)
     names = {"unique_destinations": "dst_ip", "unique_dest_ports": "dst_port"}
     if not ch.hot:
         # One exchange on the source serves all three windows.
-        rows = flows.repartition("src_ip")
+        rows = ch.df.repartition("src_ip")
         for name, column in names.items():
             first = Window.partitionBy("src_ip", column).orderBy(*order)
             rows = rows.withColumn(f"_{name}", (F.row_number().over(first) == 1).cast("long"))
@@ -119,7 +119,7 @@ def with_running_cardinalities(flows: DataFrame, *, chunk_rows: int | None = Non
     else:
         rows = ch.df
         for name, column in names.items():
-            earliest = flows.groupBy("src_ip", column).agg(F.min(F.struct(*order)).alias("_o"))
+            earliest = ch.df.groupBy("src_ip", column).agg(F.min(F.struct(*order)).alias("_o"))
             firsts = earliest.select(F.col("_o.flow_id").alias("flow_id"), F.lit(1).cast("long").alias(f"_{name}"))
             rows = rows.join(firsts, "flow_id", "left")
         ch = ch.replace(rows)

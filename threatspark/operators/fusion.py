@@ -158,6 +158,7 @@ def fuse(
     rows = categories(signals, window_seconds, signal_types=signal_types, peers=peers, chunk_rows=chunk_rows).select(
         "source_ip", "ts", "seq", "signal_type", "flow_id", "signals"
     )
+    rows = skew.settled(rows)
     single = rows.where(F.size("signals") < 2)
     many = rows.where(F.size("signals") >= 2)
     low = single.withColumns(
@@ -185,7 +186,8 @@ def mark_escalations(rows: DataFrame, cooldown_seconds: float, *, chunk_rows: in
     if wait <= 0:
         return rows.withColumn("escalated", F.lit(True))
     timed = rows.withColumn("_t", F.unix_micros("ts"))
-    ch = skew.chunked(timed, ["source_ip"], list(ORDER), chunk_rows=chunk_rows)
+    ch = skew.chunked(timed, ["source_ip"], list(ORDER), chunk_rows=chunk_rows, settle=True)
+    timed = ch.done()
     schema = T.StructType([*rows.schema.fields, T.StructField("escalated", T.BooleanType())])
     if not ch.hot:
         ordered = timed.repartition("source_ip").sortWithinPartitions("source_ip", *ORDER)

@@ -38,6 +38,11 @@ def is_small(df: DataFrame) -> bool:
     return int(str(size)) <= SMALL_INPUT_BYTES
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The table itself if it is provably small, else a checkpoint of it, for results that are read twice."""
+    return df if is_small(df) else _cut_lineage(df)
+
+
 @dataclass(frozen=True)
 class Chunked:
     """A table whose hot keys are cut into chunks; ``_chunk`` is -1 on all other keys."""
@@ -91,16 +96,22 @@ def chunked(
     order: Sequence[str],
     *,
     chunk_rows: int | None = None,
+    settle: bool = False,
 ) -> Chunked:
     """Cut the hot keys of ``df`` along ``order`` (which should be unique within a key).
 
-    With ``keys`` empty the whole table is one group.
+    With ``keys`` empty the whole table is one group. Looking for hot keys reads the key columns once
+    more; ``settle`` says that ``df`` is the result of costly steps, so it is checkpointed first and those
+    steps run only once. Inputs that are provably small skip all of this.
     """
     keys, order = tuple(keys), tuple(order)
     plain = Chunked(df, keys, order, False)
     if chunk_rows is None and is_small(df) and "spark.threatspark.rowsPerChunk" not in _conf(df):
         return plain
     limit = rows_per_chunk(df, chunk_rows)
+    if settle:
+        df = _cut_lineage(df)
+        plain = Chunked(df, keys, order, False)
 
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
@@ -264,14 +275,15 @@ def trailing_sums(
     if not probe.hot:
         low = -width_us if left_closed else -width_us + 1
         frame = Window.partitionBy(*keys).orderBy(time_us).rangeBetween(low, 0)
-        out = df.select("*", *[F.sum(e).over(frame).alias(n) for n, e in values.items()])
+        out, minus = df, {}
         if not peers:
+            # Computed first: its sort order also serves the range frame.
             later = Window.partitionBy(*keys, time_us).orderBy(*seq).rowsBetween(1, Window.unboundedFollowing)
-            minus = {n: F.sum(e).over(later).alias(f"_l_{n}") for n, e in values.items()}
-            out = out.select("*", *minus.values())
-            out = out.withColumns({n: F.col(n) - F.coalesce(F.col(f"_l_{n}"), F.lit(0)) for n in names})
-            out = out.drop(*[f"_l_{n}" for n in names])
-        return out
+            minus = {n: f"_l_{n}" for n in names}
+            out = df.select("*", *[F.sum(values[n]).over(later).alias(m) for n, m in minus.items()])
+        out = out.select("*", *[F.sum(e).over(frame).alias(n) for n, e in values.items()])
+        fixed = {n: F.col(n) - F.coalesce(F.col(m), F.lit(0)) for n, m in minus.items()}
+        return out.withColumns(fixed).drop(*minus.values()) if fixed else out
 
     data = df.withColumns({f"_v_{n}": e for n, e in values.items()}).withColumn("_kind", F.lit(1))
     leave = data.groupBy(*keys, time_us).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in names])
