@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threatspark.operators import alerts as A, behavior as B, dns as N, flows as FL, fusion as FU
 from threatspark.plans import adapters as D
+from threatspark.sources import records
 from threatspark.streaming import stateful as ST
 
 LAST = pd.Timestamp("1970-01-03")
@@ -118,3 +119,18 @@ def test_running_cardinalities(spark, sf):
     got, _ = collect(spark, ST.running_cardinalities(stream(spark, flows, "timestamp")), "cards_out")
     want = FL.with_running_cardinalities(flows).toPandas()
     equal(got, want, "flow_id", ["flow_id", "unique_destinations", "unique_dest_ports"])
+
+
+def test_record_stream_feeds_the_flow_stream(spark, tmp_path):
+    import json
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    base = {"src_ip": "a", "dst_ip": "b", "src_port": 1, "protocol": "TCP"}
+    lines = [base | {"timestamp": f"2026-09-11T10:00:0{i}Z", "dst_port": 80, "packet_size": 10 * i} for i in range(4)]
+    lines += [base | {"timestamp": "2026-09-11T10:00:01Z", "dst_port": 99999, "packet_size": 1}, {"x": 1}]
+    (folder / "1.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    (folder / "2.jsonl").write_text(json.dumps(base | {"timestamp": "2026-09-11T11:00:00Z", "dst_port": 1, "packet_size": 1}))
+    rows = records.read_packets(spark, str(folder), stream=True, maxFilesPerTrigger=1)
+    got, _ = collect(spark, ST.flow_windows(records.accepted(rows)), "records_out")
+    assert got[["packet_count", "byte_count", "flow_duration"]].values.tolist() == [[4, 60, 3_000_000.0]]
