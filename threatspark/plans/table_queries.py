@@ -178,7 +178,7 @@ def non_numeric_cells(spark, path):
 @query(
     "behavior_payload",
     f"""{SUP} SELECT "Attack Type" AS source_ip, CASE WHEN "Destination Port" % 10 = 0 THEN 'missing dest_ip' ELSE 'ok' END AS reason,
-      count(*) AS rows, round(sum("Flow Duration" / 1000000), 5) AS seconds, round(sum("Total Length of Fwd Packets"), 3) AS bytes
+      count(*) AS rows, round(sum("Flow Duration" / 1000000), 8) AS seconds, round(sum("Total Length of Fwd Packets"), 3) AS bytes
     FROM sup GROUP BY 1, 2""",
 )
 def behavior_payload(spark, path):
@@ -193,7 +193,7 @@ def behavior_payload(spark, path):
     out = B.behavior_payload(rows).groupBy("source_ip", F.coalesce("reject_reason", F.lit("ok")).alias("reason")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("flow_duration").alias("seconds"), F.sum("byte_count").alias("bytes")
     )
-    return rounded(out, seconds=5, bytes=3)
+    return rounded(out, seconds=8, bytes=3)
 
 
 # --- profiling --------------------------------------------------------------
