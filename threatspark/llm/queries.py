@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatspark.llm import simhash
+from threatspark.llm import mixing, sharding, simhash, token_blocks
 from threatspark.llm.common import table
 
 QUERIES: dict = {}
@@ -21,3 +21,57 @@ def op1_simhash(spark, sf_dir):
     """Fingerprint and component of every document: runs of three words, links at two bits or fewer."""
     found = simhash.components(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def vocabulary() -> str:
+    """The public tokenizer file of the token query."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op10_token_blocks(spark, sf_dir):
+    """Token ids of every document, written in blocks and read back."""
+    return token_blocks.read_documents(token_blocks.write(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+@query
+def op4_mixing(spark, sf_dir):
+    """Words that the mix takes of every document, summed over its draws."""
+    planned = mixing.plan(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("mix.draws", F.lit(0).cast("long"), lambda total, draw: total + draw["words"])
+    return planned.select("doc_id", "mix.size", "mix.source_size", "mix.target", taken.alias("taken"))
+
+
+# Saturated sources are the first ones by words for each unit of weight; fractions stay whole numbers until one division.
+ORACLES["op4_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS words, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w FROM d GROUP BY source
+), r AS (
+  SELECT *, sum(words) OVER ()::BIGINT AS total, sum(w) OVER ()::BIGINT AS all_w,
+    coalesce(sum(words) OVER o, 0)::BIGINT AS words_before, coalesce(sum(w) OVER o, 0)::BIGINT AS w_before
+  FROM s WINDOW o AS (ORDER BY words::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT *, w * (3 * total - 4 * words_before) > 4 * (all_w - w_before) * words AS is_full FROM r
+), c AS (
+  SELECT *, coalesce(sum(words) FILTER (is_full) OVER (), 0)::BIGINT AS full_words, coalesce(sum(w) FILTER (is_full) OVER (), 0)::BIGINT AS full_w FROM f
+), t AS (
+  SELECT source, words, CASE WHEN is_full THEN 2 * words ELSE w * (3 * total - 4 * full_words) END AS num, CASE WHEN is_full THEN 1 ELSE 2 * (all_w - full_w) END AS den FROM c
+), q AS (
+  SELECT source, words, num::DOUBLE / den::DOUBLE AS target, (2 * num + den) // (2 * den) AS quota FROM t
+), p AS (
+  SELECT doc_id, size, words, target, CASE WHEN words = 0 THEN 0 ELSE quota // words END AS rounds, quota,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY md5('0|' || doc_id), size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+)
+SELECT doc_id, size, words AS source_size, target, rounds * size + greatest(0, least(size, quota - rounds * words - start)) AS taken FROM p
+"""
+
+
+@query
+def op7_sharding(spark, sf_dir):
+    """Every document in one of 24 shards of nearly equal bytes; equal texts share a shard."""
+    return sharding.shard(table(spark, sf_dir, "documents"), 24)
