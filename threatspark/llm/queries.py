@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatspark.llm import mixing, sharding, simhash, token_blocks
+from threatspark.llm import mixing, quality_rules, sharding, simhash, token_blocks
 from threatspark.llm.common import table
 
 QUERIES: dict = {}
@@ -75,3 +75,12 @@ SELECT doc_id, size, words AS source_size, target, rounds * size + greatest(0, l
 def op7_sharding(spark, sf_dir):
     """Every document in one of 24 shards of nearly equal bytes; equal texts share a shard."""
     return sharding.shard(table(spark, sf_dir, "documents"), 24)
+
+
+@query
+def op9_quality_rules(spark, sf_dir):
+    """Statistics and verdict of every document; the decision list is learned from the quality labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    stats = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return quality_rules.judged(docs, rules).select("doc_id", *stats, "base_failed", "kept")
