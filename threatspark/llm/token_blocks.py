@@ -28,7 +28,7 @@ SHARE = 0.95
 SEGMENT_IDS = 1 << 17
 END_ID = 1
 #: Words whose ids a worker remembers before its memory starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_000_000
 #: Longer words are encoded each time and not remembered.
 LONGEST_KEPT = 64
 
@@ -113,8 +113,15 @@ class Encoder:
             raise ValueError("this tokenizer joins words across white space")
 
     def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tool.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(words, found)}
+        """Ids of different words, encoded as one text; the tokens' places in it tell whose they are."""
+        texts = [w.decode() for w in words]
+        found = self.tool.encode(" ".join(texts), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        begin = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        counts = np.bincount(np.searchsorted(ends, begin, "right"), minlength=len(words))
+        line = np.array(found.ids, "<u4").tobytes()
+        stops = (4 * np.cumsum(counts)).tolist()
+        return {w: line[i:j] for w, i, j in zip(words, [0, *stops], stops)}
 
     def ids(self, data: bytes) -> np.ndarray:
         words = data.split()
