@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatspark.llm import mixing, quality_rules, sharding, simhash, token_blocks
+from threatspark.llm import chat, mixing, quality_rules, sharding, simhash, token_blocks, url_rules
 from threatspark.llm.common import table
 
 QUERIES: dict = {}
@@ -84,3 +84,58 @@ def op9_quality_rules(spark, sf_dir):
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     stats = [f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return quality_rules.judged(docs, rules).select("doc_id", *stats, "base_failed", "kept")
+
+
+#: Fixed rules of the URL query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def labelled_urls(pages, labels):
+    """Pages and documents share ids; a page is bad if its document is labelled of low quality or toxic in any row."""
+    bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return pages.select("page_id", "url").join(bad, "page_id").select("url", "bad")
+
+
+@query
+def op6_url_rules(spark, sf_dir):
+    """Verdict on the URL of every page, by fixed rules and by rules mined from labels."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_rules.judge(pages, labelled_urls(pages, table(spark, sf_dir, "labels")), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "mined")
+
+
+@query
+def op8_chat(spark, sf_dir):
+    """Every conversation, read back from the prefix tree; one more conversation is made of control strings."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], given.schema)
+    tree = chat.build(given.unionAll(extra))
+    back = chat.read_back(tree)
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(F.transform("losses", chat.unescape), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+ORACLES["op8_chat"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 WHEN 'system' THEN 17 ELSE 17 + length(role) END + length(text)
+    + len(regexp_extract_all(text, '[<\[]\\*(/?s>|/?INST\]|</?SYS>>|/?ROLE\])')) AS n FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(n)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
