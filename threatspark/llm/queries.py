@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatspark.llm import chat, mixing, quality_rules, sharding, simhash, token_blocks, url_rules
+from threatspark.llm import chat, decontamination, mixing, quality_rules, sharding, simhash, token_blocks, url_rules
 from threatspark.llm.common import table
 
 QUERIES: dict = {}
@@ -139,3 +139,9 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(n)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
 """
+
+
+@query
+def op2_decontamination(spark, sf_dir):
+    """Documents that hold a passage similar to a benchmark item, with the best window for each item."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
