@@ -1,18 +1,21 @@
 """Minimax contiguous sharding: the smallest capacity that fits ordered atomic groups into a number of shards.
 
 Rows with equal texts are one group. Groups stand in the order of their text's hash. A capacity is tried greedily: every shard
-takes groups up to the capacity. The search keeps a bracket of capacities and tries several at once, one aggregation for each
-greedy step of all of them, so it takes a few dozen narrow scans whatever the number of groups.
+takes groups up to the capacity. The binary search runs on a sketch of the groups' ends that has a bounded number of buckets and
+gives lower and upper bounds for each greedy step. Capacities that the bounds leave open are settled by finer buckets just where
+their cuts can lie, so a few aggregations give the exact capacity whatever the number of groups.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from threatspark.llm.common import column, settle
 
 CELL_ROWS = 4096
-TRIES = 32
+#: Buckets that the driver receives at once.
+BUCKETS = 1 << 15
 
 
 def _bits(n: int) -> int:
@@ -38,50 +41,99 @@ def group_ends(groups: DataFrame, n_groups: int) -> DataFrame:
     return settle(ended.repartitionByRange("end").sortWithinPartitions("end"))
 
 
-def greedy_cuts(ends: DataFrame, total: int, shards: int, capacities: list[int]) -> list[list[int]]:
-    """For each capacity the ends of its shards, filled greedily; a capacity that fails does not reach ``total``."""
-    at = [0] * len(capacities)
-    cuts: list[list[int]] = [[] for _ in capacities]
-    for _ in range(shards):
-        open_ = [i for i, p in enumerate(at) if p < total]
-        if not open_:
-            break
-        limits = {i: at[i] + capacities[i] for i in open_}
-        near = ends.where((F.col("end") > min(at[i] for i in open_)) & (F.col("end") <= max(limits.values())))
-        found = near.agg(*(F.max(F.when(F.col("end") <= limits[i], F.col("end"))).alias(f"c{i}") for i in open_)).first()
-        for i in open_:
-            at[i] = max(at[i], found[f"c{i}"] or 0)
-            cuts[i].append(at[i])
-    return cuts
-
-
-def minimax_capacity(ends: DataFrame, total: int, largest: int, shards: int) -> int:
-    """The smallest capacity at which greedy filling needs no more than ``shards`` shards."""
-    low = max(largest, -(-total // shards))  # no smaller one can do
-    high = largest + -(-total // shards)  # this one always does
-    while low < high:
-        step = max(1, (high - low) // TRIES)
-        tries = list(range(low, high, step))[:TRIES]
-        good = [c for c, cuts in zip(tries, greedy_cuts(ends, total, shards, tries)) if cuts and cuts[-1] >= total]
-        if good:
-            high = min(good)
-            low = high if high == tries[0] else high - step + 1
-        else:
-            low = tries[-1] + 1
-    return high
+class Ends:
+    """What is known of the groups' ends: buckets in ascending order with their smallest and largest end and their count.
 
+    There are no ends between buckets. Inside one, only its smallest and largest end are known.
+    """
 
-def even_cuts(ends: DataFrame, total: int, shards: int, capacity: int) -> list[int]:
-    """Cuts within the capacity that stay near the mean of what is left; the greedy ones where these do not work out."""
-    at, cuts = 0, []
-    for left in range(shards, 0, -1):
-        if at >= total:
+    def __init__(self, ends: DataFrame, total: int, buckets: int = BUCKETS) -> None:
+        self.ends, self.total, self.buckets = ends, total, buckets
+        self.low, self.high, self.n = self._sketch([(0, total)])
+
+    def _sketch(self, runs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of the ends in ``runs``, each from above its first to its second number."""
+        width = max(1, -(-sum(b - a for a, b in runs) // self.buckets))
+        number, where, base = F.lit(None).cast("long"), F.lit(False), 0
+        for a, b in runs:
+            here = (F.col("end") > a) & (F.col("end") <= b)
+            number = F.when(here, base + F.floor((F.col("end") - (a + 1)) / width)).otherwise(number)
+            where, base = where | here, base + (b - a) // width + 1
+        found = self.ends.where(where).groupBy(number.alias("b")).agg(F.min("end").alias("low"), F.max("end").alias("high"), F.count(F.lit(1)).alias("n"))
+        rows = sorted((r["low"], r["high"], r["n"]) for r in found.collect())
+        return tuple(np.array([r[i] for r in rows], np.int64) for i in range(3))
+
+    def refine(self, picked: list[int]) -> None:
+        """Finer buckets in place of those numbered ``picked``."""
+        runs: list[tuple[int, int]] = []
+        for i in picked:
+            a, b = int(self.low[i]) - 1, int(self.high[i])
+            if runs and picked and i - 1 in picked:
+                runs[-1] = (runs[-1][0], b)
+            else:
+                runs.append((a, b))
+        self.buckets = max(self.buckets, 4 * len(picked))  # so that the widest of them are split
+        finer = self._sketch(runs)
+        rest = np.ones(len(self.low), bool)
+        rest[picked] = False
+        both = [np.concatenate([x[rest], y]) for x, y in zip((self.low, self.high, self.n), finer)]
+        order = np.argsort(both[0])
+        self.low, self.high, self.n = (x[order] for x in both)
+
+    def last(self, limit: int) -> tuple[int, int]:
+        """Bounds of the largest end up to ``limit``; the lower one is an end, or 0."""
+        i = int(np.searchsorted(self.low, limit, "right")) - 1
+        if i < 0:
+            return 0, 0
+        if self.high[i] <= limit:
+            return (int(self.high[i]),) * 2
+        low = int(self.low[i])
+        return low, low if self.n[i] <= 2 else min(limit, int(self.high[i]) - 1)
+
+    def path(self, capacity: int, shards: int, upper: bool) -> list[int]:
+        """The cuts of greedy filling, bounded from below or above."""
+        at, out = 0, []
+        while len(out) < shards and at < self.total:
+            at = max(at, self.last(at + capacity)[upper])
+            out.append(at)
+        return out
+
+
+def minimax_cuts(ends: Ends, largest: int, shards: int) -> list[int]:
+    """Ends of the shards under the smallest capacity at which greedy filling needs no more than ``shards`` of them.
+
+    Within that capacity the cuts stay near the mean of what is left where the known ends allow it.
+    """
+    total = ends.total
+    mean = -(-total // shards)
+    good = lambda c, upper: ends.path(c, shards, upper)[-1] >= total
+    while True:
+        # Below ``fails`` no capacity can do, from ``works`` on each one does.
+        fails = _first(max(largest, mean), largest + mean, lambda c: good(c, True))
+        works = _first(fails, largest + mean, lambda c: good(c, False))
+        if fails == works:
             break
-        mean, limit = at + -(-(total - at) // left), at + capacity
-        found = ends.where((F.col("end") > at)).agg(F.min(F.when(F.col("end") >= mean, F.col("end"))).alias("over"), F.max(F.when(F.col("end") <= limit, F.col("end"))).alias("under")).first()
-        at = found["over"] if found["over"] is not None and found["over"] <= limit else (found["under"] or at)
-        cuts.append(at)
-    return cuts if cuts and cuts[-1] >= total else greedy_cuts(ends, total, shards, [capacity])[0]
+        open_: set[int] = set()
+        for low, high in zip([0, *ends.path(fails, shards, False)], [0, *ends.path(works, shards, True)]):
+            i, j = np.searchsorted(ends.low, [low + fails, high + works], "right") - 1
+            open_.update(k for k in range(max(0, int(i)), int(j) + 1) if ends.n[k] > 2)
+        ends.refine(sorted(open_))
+    at, even = 0, []
+    for left in range(shards, 0, -1):
+        if at < total:
+            i = int(np.searchsorted(ends.high, at - (-(total - at) // left)))
+            near = int(ends.high[min(i, len(ends.high) - 1)])
+            at = near if near <= at + works else max(at, ends.last(at + works)[0])
+            even.append(at)
+    return even if even[-1] >= total else ends.path(works, shards, False)
+
+
+def _first(low: int, high: int, good) -> int:
+    """The smallest number from ``low`` to ``high`` that is good; ``high`` is, and so is all above a good one."""
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if good(middle) else (middle + 1, high)
+    return high
 
 
 def shard(docs: DataFrame, shards: int, overhead: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +151,7 @@ def shard(docs: DataFrame, shards: int, overhead: int = 8, id_col: str = "doc_id
     cut_keys: list[int] = []
     if n_groups:
         ends = group_ends(groups, n_groups)
-        cuts = even_cuts(ends, total, shards, minimax_capacity(ends, total, largest, shards))
+        cuts = minimax_cuts(Ends(ends, total), largest, shards)
         # One row per shard: the last group of each.
         cut_keys = sorted(r["g"] for r in ends.where(F.col("end").isin(cuts)).select("g").collect())
     number = F.lit(0)
