@@ -142,7 +142,7 @@ class Index:
                 marks = hits[_among(runs[hits], size.runs)]
                 starts = np.unique(marks[:, None] - np.arange(length)).ravel()
                 starts = starts[(starts >= 0) & (starts <= len(runs) - length)]
-            for part in np.split(starts, np.flatnonzero(np.diff(starts) > 4096) + 1):
+            for part in np.split(starts, np.flatnonzero(np.diff(starts) > 64) + 1):
                 for at in range(0, len(part), 4096):
                     self._verify(size, number, own, part[at : at + 4096], length, least, best)
         return list(best.values())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatspark.llm import chat, decontamination, mixing, quality_rules, sharding, simhash, token_blocks, url_rules
+from threatspark.llm import chat, decontamination, html_extraction, mixing, quality_rules, sharding, simhash, token_blocks, url_rules
 from threatspark.llm.common import table
 
 QUERIES: dict = {}
@@ -145,3 +145,11 @@ FROM f GROUP BY conv_id
 def op2_decontamination(spark, sf_dir):
     """Documents that hold a passage similar to a benchmark item, with the best window for each item."""
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_html_extraction(spark, sf_dir):
+    """Main text of every page, by a model trained on labelled pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    model = html_extraction.train(html_extraction.labelled_pages(pages))
+    return html_extraction.extract(pages, model).select("page_id", "url", "text", "n_chars")
