@@ -44,3 +44,10 @@ def count_words(text: Column) -> Column:
 def column(name: str) -> Column:
     """A column by its exact name, dots and blanks included."""
     return F.col(f"`{name.replace('`', '``')}`")
+
+
+def vocabulary() -> str:
+    """The public tokenizer file that the registered queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")

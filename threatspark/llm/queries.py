@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from threatspark.llm import chat, decontamination, html_extraction, mixing, quality_rules, sharding, simhash, token_blocks, url_rules
-from threatspark.llm.common import table
+from threatspark.llm.common import table, vocabulary
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,13 +24,6 @@ def op1_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def vocabulary() -> str:
-    """The public tokenizer file of the token query."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query
 def op10_token_blocks(spark, sf_dir):
     """Token ids of every document, written in blocks and read back."""
@@ -153,3 +147,13 @@ def op3_html_extraction(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     model = html_extraction.train(html_extraction.labelled_pages(pages))
     return html_extraction.extract(pages, model).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The corpus pipeline over the documents table."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
