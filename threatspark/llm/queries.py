@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threatspark.llm import chat, decontamination, html_extraction, mixing, quality_rules, sharding, simhash, token_blocks, url_rules
+from threatspark.llm import chat, decontamination, html_extraction, mixing, quality_rules, sharding, simhash, suffix_array, token_blocks, url_rules
 from threatspark.llm.common import table, vocabulary
 
 QUERIES: dict = {}
@@ -157,3 +157,11 @@ def pipeline(spark, sf_dir):
 
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@query
+def op5_suffix_array(spark, sf_dir):
+    """Bytes of every document that lie in a string of 400 bytes which starts anywhere else as well."""
+    found = suffix_array.repeats(table(spark, sf_dir, "documents"), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["until"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
