@@ -1,7 +1,7 @@
 """Chat formatting as a prefix tree: shared opening turns are written once, depth first.
 
-A node is a turn after one particular history. Nodes in the order of their path of digests are the tree depth first, so offsets
-in the common stream are running sums in that order. A node carries the position of its first unit in its own conversation
+A node is a turn after one particular history. Offsets in the common stream are running sums over the nodes depth first. A node
+carries the position of its first unit in its own conversation
 and the intervals of the stream that it attends to, which are its ancestors' places. Units are code points.
 """
 
@@ -22,8 +22,8 @@ _TURN = r"(?s)\[INST\] .*? \[/INST\]|<s> .*? </s>|<<SYS>> .*? <</SYS>>|\[ROLE\]
 
 
 class Tree(NamedTuple):
-    """``nodes`` (node, parent, depth, lineage, stream_from, units, position, content, loss_from, loss_units, attends) and
-    ``conversations`` (conv_id, leaf, n_turns)."""
+    """``nodes`` (node, depth, stream_from, units, position, content, loss_from, loss_units, attends) and ``conversations``
+    (conv_id, n_turns, nodes): the stream is the nodes' contents in the order of ``stream_from``."""
 
     nodes: DataFrame
     conversations: DataFrame
@@ -54,61 +54,66 @@ def _turn(role: Column, text: Column) -> Column:
     return out
 
 
-def _joined(intervals: Column) -> Column:
-    """Intervals in ascending order with those that touch made one."""
-
-    def add(done: Column, x: Column) -> Column:
-        touches = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["until"] == x["start"])
-        longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.get(done, F.size(done) - 1)["start"].alias("start"), x["until"].alias("until"))))
-        return F.when(touches, longer).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(intervals, F.array().cast("array<struct<start:bigint,until:bigint>>"), add)
-
-
 def build(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Tree:
     """The prefix tree of ``conversations``, one row per turn, written to the shared folder.
 
     Null texts and roles count as empty ones. Rows of a conversation stand in the order of turn (null first), role and text, so
     ties and repeated rows are separate turns in a fixed order. Rows with a null conversation id are one conversation. No rows
-    give an empty tree; other columns are not looked at. A conversation's turns are ordered in one task, as are the digests of
-    its history, so its number of turns is what a task must hold; texts are not.
+    give an empty tree; other columns are not looked at. Work and output grow with the number of turns, in long conversations
+    as well; a conversation is ordered in one task, by running sums.
+
+    A history is known by the exclusive or of its turns' 128-bit digests, each taken with its place. Conversations sorted by
+    their lists of nodes have shared beginnings side by side: each node belongs to the first one that has it, and this order is
+    the tree depth first.
     """
     empty = F.lit("")
     rows = conversations.select(column(id_col).alias("conv_id"), column(turn_col).alias("turn"), F.coalesce(column(role_col), empty).alias("role"), F.coalesce(column(text_col), empty).alias("text"))
-    digest = F.substring(F.sha2(F.concat(F.octet_length("role").cast("string"), F.lit(":"), "role", "text"), 256), 1, 32)
     in_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     until = in_turn.rowsBetween(Window.unboundedPreceding, 0)
-    turns = rows.withColumn("digest", digest).withColumn("content", _turn(F.col("role"), F.col("text")))
-    turns = turns.withColumn("units", F.length("content").cast("long"))
-    turns = turns.withColumns({"path": F.array_join(F.collect_list("digest").over(until), ""), "depth": F.row_number().over(in_turn), "position": F.sum("units").over(until) - F.col("units")})
-    turns = turns.withColumn("node", F.substring(F.sha2("path", 256), 1, 32))
-    turns = turns.withColumn("lineage", F.collect_list("node").over(until))
+    turns = rows.withColumn("depth", F.row_number().over(in_turn)).withColumn("content", _turn(F.col("role"), F.col("text")))
+    turns = turns.withColumns({"units": F.length("content").cast("long"), "d1": F.xxhash64("depth", "role", "text"), "d2": F.xxhash64("text", F.lit(1), "role", "depth")})
+    running = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
+    node = F.concat(F.lpad(F.hex(F.bit_xor("d1").over(running)), 16, "0"), F.lpad(F.hex(F.bit_xor("d2").over(running)), 16, "0"))
     scored = F.col("role") == LOSS_ROLE
     left, right = map(len, FRAMES[LOSS_ROLE])
     turns = turns.select(
-        "conv_id", "node", "path", "depth", "lineage", "units", "position", "content",
+        "conv_id", "depth", "units", "content",
+        node.alias("node"),
+        (F.sum("units").over(running) - F.col("units")).alias("position"),
         F.when(scored, left).alias("loss_from"),
         F.when(scored, F.col("units") - left - right).alias("loss_units"),
     )
     turns = settle(turns)
-
-    distinct = turns.dropDuplicates(["node"]).drop("conv_id")
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = settle(distinct.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()))
+
+    listed = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "node"))), lambda x: x["node"]).alias("nodes"))
+    listed = listed.repartitionByRange(parts, "nodes").sortWithinPartitions("nodes")
+    # Ascending in the order of the rows: the partition's number, then the row's.
+    ranked = settle(listed.withColumn("rank", F.monotonically_increasing_id()))
+    steps = ranked.select("rank", F.posexplode("nodes").alias("at", "node"))
+    owners = steps.groupBy("node").agg(F.min("rank").alias("rank"))
+    ranks = ranked.select("conv_id", "rank")
+    placed_turns = turns.join(ranks, turns["conv_id"].eqNullSafe(ranks["conv_id"])).drop(ranks["conv_id"])
+    owned = placed_turns.join(owners, ["node", "rank"])
+
+    dealt = settle(owned.drop("conv_id").repartitionByRange(parts, "rank").withColumn("part", F.spark_partition_id()))
     sums = dealt.groupBy("part").agg(F.sum("units").alias("n"))
     bases = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("part").orderBy("rank", "depth").rowsBetween(Window.unboundedPreceding, 0)
     placed = dealt.join(F.broadcast(bases), "part").withColumn("stream_from", F.col("base") + F.sum("units").over(inside) - F.col("units"))
-    placed = settle(placed.drop("part", "base", "path"))
+    placed = settle(placed.drop("part", "base"))
 
-    place = placed.select(F.col("node").alias("above"), F.struct(F.col("stream_from").alias("start"), (F.col("stream_from") + F.col("units")).alias("until")).alias("place"))
-    above = placed.select("node", F.explode(F.slice("lineage", F.lit(1), F.col("depth") - 1)).alias("above")).join(place, "above")
-    attends = above.groupBy("node").agg(_joined(F.array_sort(F.collect_list("place"))).alias("attends"))
-    nodes = placed.join(attends, "node", "left").withColumn("parent", F.get("lineage", F.col("depth") - 2))
-    none = F.array().cast("array<struct<start:bigint,until:bigint>>")
-    nodes = settle(nodes.withColumn("attends", F.coalesce("attends", none)))
-    ends = turns.groupBy("conv_id").agg(F.max_by("node", "depth").alias("leaf"), F.max("depth").cast("long").alias("n_turns"))
-    return Tree(nodes, settle(ends))
+    # Along each conversation ancestors that follow each other in the stream are one interval; a node keeps those before it.
+    along = steps.join(placed.select("node", F.col("rank").alias("owner"), "stream_from", "units"), "node")
+    way = Window.partitionBy("rank").orderBy("at")
+    before = way.rowsBetween(Window.unboundedPreceding, -1)
+    along = along.withColumn("last", F.lag(F.col("stream_from") + F.col("units")).over(way))
+    along = along.withColumn("jump", F.when(F.col("last").isNull() | (F.col("last") != F.col("stream_from")), F.struct("stream_from", "last")))
+    along = along.withColumn("jumps", F.collect_list("jump").over(before)).where("rank = owner")
+    attends = F.transform("jumps", lambda x, k: F.struct(x["stream_from"].alias("start"), F.coalesce(F.get("jumps", k + 1)["last"], F.col("last")).alias("until")))
+    parent = along.select("node", attends.alias("attends"))
+    nodes = settle(placed.drop("rank").join(parent, "node"))
+    return Tree(nodes, ranked.select("conv_id", F.size("nodes").cast("long").alias("n_turns"), "nodes"))
 
 
 def read_back(tree: Tree) -> DataFrame:
@@ -117,8 +122,7 @@ def read_back(tree: Tree) -> DataFrame:
     ``formatted`` is its nodes' content from the root down, ``losses`` the pieces of it under the loss mask as written, and
     ``turns`` the roles and texts parsed from ``formatted``.
     """
-    lines = tree.nodes.select(F.col("node").alias("leaf"), "lineage")
-    steps = tree.conversations.join(lines, "leaf").select("conv_id", F.posexplode("lineage").alias("at", "node"))
+    steps = tree.conversations.select("conv_id", F.posexplode("nodes").alias("at", "node"))
     piece = F.when(F.col("loss_from").isNotNull(), F.substring(F.col("content"), F.col("loss_from") + 1, F.col("loss_units").cast("int")))
     shown = tree.nodes.select("node", "content", piece.alias("piece"))
     told = steps.join(shown, "node").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "content", "piece"))).alias("steps"))
