@@ -10,7 +10,8 @@ The full suffix order is not needed, only which prefixes of 400 bytes are equal.
    bytes; sorted again, equal neighbours are repeats.
 
 Texts travel once, into lots of about a megabyte. What is shuffled is one row of names for each lot and bucket of names, with
-each lot's own repeats already merged, so a string that a third of all texts hold is one name for each lot.
+each lot's own repeats already merged, so a string that a third of all texts hold is one name for each lot. What comes back is a
+bit for each name. Of texts that are equal as a whole, one gives names, and all are known to be repeated.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -104,10 +106,9 @@ class Text:
         at = np.flatnonzero(self.starts(size) & member[own % period])
         return at, self.triples(at, size)
 
-    def suspects(self, length: int, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def suspects(self, length: int, at: np.ndarray, names: np.ndarray, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose string has a recurring sample at a distance below the period, and the names of these strings."""
         _, period = cover_for(length)
-        at, names = self.sampled(length)
         hits = at[among(names, recurring)]
         near = np.zeros(len(self.data) + 1, np.int32)
         np.add.at(near, np.maximum(hits - period + 1, 0), 1)
@@ -123,8 +124,83 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def _joined(parts: list[bytes] | None) -> np.ndarray:
-    return np.sort(np.frombuffer(b"".join(parts or []), np.uint64))
+def _coded(values: np.ndarray) -> bytes:
+    """Ascending names as differences, byte by byte of equal weight, so that their leading zeros compress."""
+    return np.diff(values, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
+def _dealt(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The different names of a lot by bucket, ascending in each; whether the lot has them twice; and each bucket's part."""
+    values, counts = np.unique(names, return_counts=True)
+    bucket = (values >> np.uint64(32)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    return values[order], counts[order] > 1, list(zip(used.tolist(), first.tolist(), [*first[1:].tolist(), len(values)]))
+
+
+def _marked(names: np.ndarray, buckets: int, found: list[dict] | None, bits: str) -> np.ndarray:
+    """The names of a lot that ``found`` marks, ascending."""
+    values, _, parts = _dealt(names, buckets)
+    masks = {r["bucket"]: r[bits] for r in found or []}
+    marks = np.zeros(len(values), bool)
+    for bucket, a, b in parts:
+        if bucket in masks:
+            marks[a:b] = np.unpackbits(np.frombuffer(masks[bucket], np.uint8), count=b - a)
+    return np.sort(values[marks])
+
+
+class Lot:
+    """A lot with what is known of it so far; texts that only repeat an earlier whole text give no names."""
+
+    def __init__(self, row: dict, length: int, buckets: int) -> None:
+        self.row, self.length, self.buckets = row, length, buckets
+        self.texts = [t or b"" for t in row["texts"]]
+
+    def wholes(self) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(t) for t in self.texts], np.uint64)
+
+    def single(self) -> Text:
+        own = self.wholes()
+        first = _marked(own, self.buckets, self.row["copies"], "first")
+        self.copied = among(own, _marked(own, self.buckets, self.row["copies"], "again"))
+        once = np.zeros(len(own), bool)
+        once[np.unique(own, return_index=True)[1]] = True
+        gives = ~self.copied | (among(own, first) & once)
+        return Text([t if g else b"" for t, g in zip(self.texts, gives)])
+
+    def sampled(self) -> np.ndarray:
+        return self.single().sampled(self.length)[1]
+
+    def suspects(self) -> tuple[Text, np.ndarray, np.ndarray]:
+        text = self.single()
+        at, names = text.sampled(self.length)
+        return text, *text.suspects(self.length, at, names, _marked(names, self.buckets, self.row["samples"], "again"))
+
+    def spans(self) -> tuple[list[list[dict]], list[bytes]]:
+        """Spans to remove from each text, and what is left of it."""
+        text, at, names = self.suspects()
+        hits = at[among(names, _marked(names, self.buckets, self.row["strings"], "again"))]
+        marks = np.zeros(len(text.data) + 1, np.int32)
+        np.add.at(marks, hits, 1)
+        np.add.at(marks, hits + self.length, -1)
+        gone = np.cumsum(marks)[:-1] > 0
+        spans, kept = [], []
+        for t, copied, a, b in zip(self.texts, self.copied, text.ends.tolist(), text.ends[1:].tolist()):
+            if copied and len(t) >= self.length:
+                spans.append([{"start": 0, "until": len(t)}])
+                kept.append(b"")
+            elif copied:
+                spans.append([])
+                kept.append(t)
+            else:
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8))).tolist()
+                spans.append([{"start": x, "until": y} for x, y in zip(edges[::2], edges[1::2])])
+                kept.append(text.data[a:b][~gone[a:b]].tobytes())
+        return spans, kept
 
 
 def pack_lots(docs: DataFrame, id_col: str, text_col: str, lot_bytes: int) -> DataFrame:
@@ -157,31 +233,37 @@ def _lot(lot: int, ids: list, texts: list, kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lot]), pa.array([ids], pa.list_(kind)), pa.array([texts], pa.list_(pa.binary()))], ["lot", "ids", "texts"])
 
 
-def recurring(lots: DataFrame, names: Callable[[dict], np.ndarray], buckets: int) -> DataFrame:
-    """``(lot, found)``: the names of each lot that occur twice or more in all lots together, in pieces."""
+def recurring(lots: DataFrame, name: str, names: Callable[[dict], np.ndarray], buckets: int) -> DataFrame:
+    """``(lot, name)``: for the lot's names by bucket, bits that tell which occur twice or more in all lots (``again``), and for
+    which the lot is the first that has them (``first``)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                values, counts = np.unique(names(row), return_counts=True)
-                bucket = (values >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                values, twice, bucket = values[order], counts[order] > 1, bucket[order]
-                used, first = np.unique(bucket, return_index=True)
-                last = [*first[1:].tolist(), len(values)]
-                made = [(values[a:b].tobytes(), np.packbits(twice[a:b]).tobytes()) for a, b in zip(first.tolist(), last)]
-                if made:
-                    arrays = [pa.array(used.astype(np.int64)), pa.array([row["lot"]] * len(made)), pa.array([x for x, _ in made], pa.binary()), pa.array([y for _, y in made], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, ["bucket", "lot", "names", "twice"])
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                values, twice, parts = _dealt(names(row), buckets)
+                columns = [[p[0] for p in parts], [row["lot"]] * len(parts), [_coded(values[a:b]) for _, a, b in parts], [np.packbits(twice[a:b]).tobytes() for _, a, b in parts]]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["bucket", "lot", "names", "twice"])
 
     def settle_bucket(rows: list[dict]) -> pa.RecordBatch:
-        values = [np.frombuffer(r["names"], np.uint64) for r in rows]
+        rows.sort(key=lambda r: r["lot"])
+        values = [_decoded(r["names"]) for r in rows]
         twice = [np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(v)).astype(bool) for r, v in zip(rows, values)]
-        ordered = np.sort(np.concatenate(values))
-        known = np.unique(np.concatenate([ordered[1:][ordered[1:] == ordered[:-1]], *(v[t] for v, t in zip(values, twice))]))
-        found = [(r["lot"], v[among(v, known)].tobytes()) for r, v in zip(rows, values)]
-        found = [x for x in found if x[1]]
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.binary())], ["lot", "found"])
+        line = np.concatenate(values)
+        order = np.argsort(line, kind="stable")  # equal names side by side, the first lot in front
+        same = np.zeros(len(line), bool)
+        same[1:] = line[order][1:] == line[order][:-1]
+        first, again = np.zeros(len(line), bool), np.concatenate(twice)
+        first[order] = ~same
+        again[order[same]] = True
+        again[order[:-1][same[1:]]] = True
+        known = np.unique(line[again])
+        again = among(line, known)
+        ends = np.cumsum([0, *map(len, values)]).tolist()
+        found = [(r["lot"], r["bucket"], np.packbits(again[a:b]).tobytes(), np.packbits(first[a:b]).tobytes()) for r, a, b in zip(rows, ends, ends[1:]) if again[a:b].any()]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], ["lot", "bucket", "again", "first"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -196,8 +278,8 @@ def recurring(lots: DataFrame, names: Callable[[dict], np.ndarray], buckets: int
 
     dealt = lots.mapInArrow(deal, "bucket long, lot long, names binary, twice binary")
     parts = int(lots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "lot long, found binary")
-    return settle(met.groupBy("lot").agg(F.collect_list("found").alias("found")))
+    met = dealt.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "lot long, bucket long, again binary, first binary")
+    return settle(met.groupBy("lot").agg(F.collect_list(F.struct("bucket", "again", "first")).alias(name)))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, lot_bytes: int = LOT_BYTES, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,36 +290,27 @@ def repeats(docs: DataFrame, length: int = LENGTH, lot_bytes: int = LOT_BYTES, b
     Repeated rows are copies of each other. An empty table gives no rows. Equal strings are told by 64-bit names: among n suspect
     strings about ``n^2 / 2^65`` pairs of different ones are taken for equal.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 64)
     lots = pack_lots(docs, id_col, text_col, lot_bytes)
     total = lots.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
     buckets = max(16, total // bucket_bytes)
-    samples = recurring(lots.select("lot", "texts"), lambda row: Text(row["texts"]).sampled(length)[1], buckets)
-    near = lots.select("lot", "texts").join(samples, "lot")
-    found = recurring(near, lambda row: Text(row["texts"]).suspects(length, _joined(row["found"]))[1], buckets)
+    texts = lots.select("lot", "texts")
+    copies = recurring(texts, "copies", lambda row: Lot(row, length, buckets).wholes(), buckets)
+    known = texts.join(copies, "lot", "left")
+    samples = recurring(known, "samples", lambda row: Lot(row, length, buckets).sampled(), buckets)
+    known = known.join(samples, "lot", "left")
+    strings = recurring(known, "strings", lambda row: Lot(row, length, buckets).suspects()[2], buckets)
+    known = lots.join(copies, "lot", "left").join(samples, "lot", "left").join(strings, "lot", "left")
     kind = lots.schema["ids"].dataType.elementType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("until", pa.int64())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                texts = row.column("texts").to_pylist()[0]
-                text = Text(texts)
-                names = _joined(row.column("names").to_pylist()[0])
-                at, own = text.suspects(length, _joined(row.column("found").to_pylist()[0])) if len(names) else (np.empty(0, np.int64), np.empty(0, np.uint64))
-                hits = at[among(own, names)]
-                marks = np.zeros(len(text.data) + 1, np.int32)
-                np.add.at(marks, hits, 1)
-                np.add.at(marks, hits + length, -1)
-                gone = np.cumsum(marks)[:-1] > 0
-                spans, kept = [], []
-                for a, b in zip(text.ends.tolist(), text.ends[1:].tolist()):
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8))).tolist()
-                    spans.append([{"start": x, "until": y} for x, y in zip(edges[::2], edges[1::2])])
-                    kept.append(text.data[a:b][~gone[a:b]].tobytes())
-                arrays = [row.column("ids").combine_chunks().flatten() if isinstance(row.column("ids"), pa.ChunkedArray) else row.column("ids").flatten(), pa.array(np.diff(text.ends)), pa.array(spans, span), pa.array(kept, pa.binary())]
+                one = batch.slice(k, 1)
+                lot = Lot(one.to_pylist()[0], length, buckets)
+                spans, kept = lot.spans()
+                arrays = [one.column("ids").flatten(), pa.array(map(len, lot.texts), pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "spans", "kept"])
 
-    named = lots.join(samples, "lot", "left").join(found.withColumnRenamed("found", "names"), "lot", "left")
-    return named.select("lot", "ids", "texts", "found", "names").mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,until:bigint>>, kept binary")
+    return known.mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:bigint,until:bigint>>, kept binary")
