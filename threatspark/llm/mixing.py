@@ -159,7 +159,7 @@ def plan(docs: DataFrame, size: Column | None = None, weights=WEIGHTS, share=SHA
 def first_words(text: Column, n: Column) -> Column:
     """A text up to the end of its ``n``-th word; white space between words stays as it is."""
     pieces = F.split(text, GAP, n + 1 + F.when(text.rlike("^" + GAP), 1).otherwise(0))
-    return F.rtrim(F.substring(text, F.lit(1), F.length(text) - F.length(F.element_at(pieces, -1))))
+    return F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(F.element_at(pieces, -1))), GAP + "$", "")
 
 
 def mix(docs: DataFrame, text_col: str = "text", seed: int = SEED, **options) -> DataFrame:
