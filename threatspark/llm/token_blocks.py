@@ -28,7 +28,7 @@ SHARE = 0.95
 SEGMENT_IDS = 1 << 17
 END_ID = 1
 #: Words whose ids a worker remembers before its memory starts anew.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 500_000
 #: Longer words are encoded each time and not remembered.
 LONGEST_KEPT = 64
 
@@ -98,10 +98,10 @@ class Encoder:
     """Ids of whole texts, for tokenizers in which no token spans ASCII white space.
 
     Such a text's ids are its words' ids one after the other, so each different word is encoded once and remembered in a
-    memory of bounded size. A tokenizer for which this does not hold on a probe is refused.
+    memory of bounded size. A tokenizer for which this does not hold on a probe, or that sets case or marks apart, is refused.
     """
 
-    PROBE = "It's  a Test, 3.14\n\tdon't stop É é <|endoftext|> x<|startoftext|>y \u0301a"
+    PROBE = "It's  a Test, test. TEST 3.14\n\tdon't stop É é <|endoftext|> x<|startoftext|>y \u0301a"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,11 +132,22 @@ class Encoder:
         return np.frombuffer(line, "<u4")
 
     def _learn(self, words: list[bytes]) -> bytes:
-        if len(self.kept) > WORDS_KEPT:
-            self.kept.clear()
-        fresh = self._fresh([w for w in set(words) if w not in self.kept])
-        line = b"".join(fresh[w] if w in fresh else self.kept[w] for w in words)
-        self.kept.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_KEPT)
+        kept = self.kept
+        if len(kept) > WORDS_KEPT:
+            kept.clear()
+        # ASCII letters with a stop or comma are the small letters' ids and the mark's: their forms are encoded once.
+        parts = {}
+        for w in set(words):
+            if w not in kept:
+                tail = w[-1:] if w[-1:] in (b".", b",") else b""
+                stem = w[: len(w) - len(tail)].lower()
+                parts[w] = (stem, tail) if stem.isalpha() else (w, b"")
+        wanted = {x for pair in parts.values() for x in pair if x and x not in kept}
+        fresh = self._fresh(list(wanted))
+        find = lambda x: fresh[x] if x in fresh else kept[x]
+        fresh.update([(w, find(stem) + find(tail) if tail else find(stem)) for w, (stem, tail) in parts.items()])
+        line = b"".join(map(find, words))
+        kept.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_KEPT)
         return line
 
 
