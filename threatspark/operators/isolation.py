@@ -121,6 +121,21 @@ def _score(packed: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return -np.power(2.0, -mean / float(average_path(packed["sample"])[0]))
 
 
+def _binomial_sums(n: int, p: float) -> list[float]:
+    """Chances of at most 0, 1, ... successes in ``n`` trials, up to where they are 1 in double precision."""
+    if p >= 1:
+        return [0.0] * n
+    sums, term = [], (1 - p) ** n
+    total = term
+    for k in range(n):
+        if total >= 1 - 1e-15:
+            break
+        sums.append(total)
+        term *= (n - k) / (k + 1) * p / (1 - p)
+        total += term
+    return sums
+
+
 def fit(
     rows: DataFrame,
     features: list[str],
@@ -132,26 +147,21 @@ def fit(
 ) -> IsolationForest:
     """Fit on ``rows`` (normal traffic only). ``row_id`` must be unique; it makes the samples repeatable.
 
-    Large inputs: every row can serve at most one tree, chosen by hash, so the input is read once and only
-    about ``trees * sample`` rows are shuffled. Small inputs: every tree draws its own sample.
+    A row's hash draws how many trees take it, from the binomial distribution that gives each tree a little more than its
+    sample; only rows that some tree takes are expanded and shuffled. Input size changes no step.
     """
     base = rows.select(F.col(row_id).cast("string").alias("_id"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features])
     n = base.count()
     if n == 0:
         raise ValueError("no rows to fit")
-    key = F.xxhash64("_id", F.lit(seed))
-    if n >= 2 * trees * sample:
-        wanted = min(1.0, 1.5 * trees * sample / n)
-        drawn = base.withColumn("_h", F.pmod(key, F.lit(_SPACE))).where(F.col("_h") < int(wanted * _SPACE))
-        drawn = drawn.withColumn("tree", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(trees)).cast("int"))
-    else:
-        share = int(min(1.0, 1.3 * sample / n + 8.0 / n) * _SPACE)
-        picks = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.pmod(F.xxhash64("_id", t, F.lit(seed)), F.lit(_SPACE)) < share,
-        )
-        drawn = base.select("*", F.explode(picks).alias("tree"))
-        drawn = drawn.withColumn("_h", F.pmod(F.xxhash64("_id", "tree", F.lit(seed)), F.lit(_SPACE)))
+    share = min(1.0, (1.3 * sample + 8.0) / n)
+    below = [int(x * _SPACE) for x in _binomial_sums(trees, share)]
+    u = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(_SPACE))
+    taken = base.withColumn("_k", F.size(F.filter(F.array(*map(F.lit, below)), lambda x: x <= u))).where("_k > 0")
+    turn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(F.xxhash64("_id", t, F.lit(seed + 1)).alias("h"), t.alias("t")))
+    chosen = F.transform(F.slice(F.array_sort(turn), F.lit(1), F.col("_k")), lambda x: x["t"])
+    drawn = taken.select("*", F.explode(chosen).alias("tree")).drop("_k")
+    drawn = drawn.withColumn("_h", F.pmod(F.xxhash64("_id", "tree", F.lit(seed)), F.lit(_SPACE)))
     names = list(features)
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatspark import schemas as S, skew
@@ -36,7 +33,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, *, group_rows:
     """Count, mean, std, min, quartiles (linear) and max per column."""
     columns = list(columns or numeric_columns(df))
     fields = ["column", "count", "mean", "std", "min", "q25", "median", "q75", "max"]
-    small = group_rows is None and skew.is_small(df)
+    small = df.count() <= (1_000_000 if group_rows is None else group_rows)
 
     def measures(c: Column) -> list[Column]:
         out = [
@@ -85,68 +82,30 @@ def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return stats.select("column", corrected_skew.alias("skewness"), corrected_kurt.alias("kurtosis"))
 
 
-_MOMENTS = "slot int, n long, mean array<double>, m array<double>"
-_SLOTS = 64
-
-
-def _merge(a: tuple | None, b: tuple) -> tuple:
-    """Count, means and co-moments of two sets of rows taken together."""
-    if a is None:
-        return b
-    (na, ma, ca), (nb, mb, cb) = a, b
-    n, shift = na + nb, mb - ma
-    return n, ma + shift * (nb / n), ca + cb + np.outer(shift, shift) * (na * nb / n)
-
-
 def _correlated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``feature_a, feature_b, r`` for all ordered column pairs, in one pass over the rows.
+    """``feature_a, feature_b, r`` for all ordered column pairs, in one aggregation.
 
-    Each task sums up its rows into one co-moment matrix; the matrices are merged in two levels. Rows with
-    a gap in any column are left out, and a constant column has no correlation.
+    A pair uses the rows in which both have a number (gaps are null or NaN); a constant column has no correlation, and
+    neither has any pair of an empty table.
     """
     names = list(columns)
-    size = len(names)
-    rows = df.select(*[q(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
-
-    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for batch in batches:
-            x = batch.to_numpy(dtype="float64", na_value=np.nan)
-            x = x[~np.isnan(x).any(axis=1)]
-            if not len(x):
-                continue
-            origin = x[0].copy()  # a constant column stays exactly constant
-            x = x - origin
-            mean = x.mean(axis=0)
-            centred = x - mean
-            total = _merge(total, (len(x), origin + mean, centred.T @ centred))
-        if total is not None:
-            slot = TaskContext.get().partitionId() % _SLOTS
-            yield pd.DataFrame([[slot, total[0], total[1], total[2].ravel()]], columns=["slot", "n", "mean", "m"])
-
-    def merged(pdf: pd.DataFrame) -> tuple:
-        total = None
-        for r in pdf.itertuples(index=False):
-            total = _merge(total, (r.n, np.asarray(r.mean), np.asarray(r.m).reshape(size, size)))
-        return total
-
-    def merge_slot(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, mean, m = merged(pdf)
-        return pd.DataFrame([[0, n, mean, m.ravel()]], columns=["slot", "n", "mean", "m"])
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, _, m = merged(pdf)
-        spread = np.sqrt(np.diag(m))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = m / np.outer(spread, spread)
-        np.fill_diagonal(r, 1.0)
-        flat = (spread == 0)[:, None] | (spread == 0)[None, :]
-        cells = [(a, b, None if flat[i, j] else r[i, j]) for i, a in enumerate(names) for j, b in enumerate(names)]
-        return pd.DataFrame(cells, columns=["feature_a", "feature_b", "r"])
-
-    partial = rows.mapInPandas(sum_up, _MOMENTS)
-    per_slot = partial.groupBy("slot").applyInPandas(merge_slot, _MOMENTS)
-    return per_slot.groupBy("slot").applyInPandas(finish, "feature_a string, feature_b string, r double")
+    value = {c: F.nanvl(q(c).cast("double"), F.lit(None).cast("double")) for c in names}
+
+    def pair(a: str, b: str) -> Column:
+        x, y = F.when(value[b].isNotNull(), value[a]), F.when(value[a].isNotNull(), value[b])
+        if a == b:
+            return F.when(F.var_pop(x) > 0, 1.0)
+        return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+    pairs = {(a, b): pair(a, b) for i, a in enumerate(names) for b in names[i:]}
+    made = df.agg(*[r.alias(f"r{k}") for k, r in enumerate(pairs.values())])
+    place = {p: f"r{k}" for k, p in enumerate(pairs)}
+    cells = [
+        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(place.get((a, b)) or place[b, a]).alias("r"))
+        for a in names
+        for b in names
+    ]
+    return made.select(F.inline(F.array(*cells)))
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

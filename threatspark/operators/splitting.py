@@ -38,11 +38,12 @@ def split_exact(
     *,
     chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Add ``split`` with exact per-class shares: position of the row in its class's hash order."""
+    """Add ``split`` with exact per-class shares: position of the row in its class's hash order. A null class is one too."""
     rows = df.withColumn("_h", hash_bucket(row_id, seed, 1 << 31))
     numbered = skew.row_numbers(rows, [target], ["_h", row_id], "_rn", chunk_rows=chunk_rows)
     sizes = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
-    joined = numbered.join(sizes, target, "left")
+    sizes = skew.counted_broadcast(sizes.withColumnRenamed(target, "_class"))  # one row per class
+    joined = numbered.join(sizes, F.col(f"`{target}`").eqNullSafe(F.col("_class")), "left").drop("_class")
     return joined.withColumn("split", _pick(F.col("_rn") - 1, F.col("_n"), shares)).drop("_h", "_rn", "_n")
 
 
@@ -71,4 +72,4 @@ def class_weights(df: DataFrame, target: str = S.TARGET) -> DataFrame:
 
 def with_class_weights(df: DataFrame, target: str = S.TARGET, name: str = "weight") -> DataFrame:
     weights = class_weights(df, target).select(F.col("label").alias(target), F.col("weight").alias(name))
-    return df.join(weights, target, "left")
+    return df.join(skew.counted_broadcast(weights), target, "left")

@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_CHUNK = 4_000_000
 MAX_CHUNKS = 20_000
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
 CHUNK = "_chunk"
 _SAMPLES_PER_CHUNK = 16
 _HASH_SPACE = 1 << 40
@@ -32,15 +31,9 @@ def rows_per_chunk(df: DataFrame, override: int | None = None) -> int:
     return int(df.sparkSession.conf.get("spark.threatspark.rowsPerChunk", str(ROWS_PER_CHUNK)))
 
 
-def is_small(df: DataFrame) -> bool:
-    """True if Catalyst's size estimate proves the input too small to hold a hot key."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= SMALL_INPUT_BYTES
-
-
 def settled(df: DataFrame) -> DataFrame:
-    """The table itself if it is provably small, else a checkpoint of it, for results that are read twice."""
-    return df if is_small(df) else _cut_lineage(df)
+    """A checkpoint of a result that is read twice."""
+    return _cut_lineage(df)
 
 
 @dataclass(frozen=True)
@@ -100,14 +93,12 @@ def chunked(
 ) -> Chunked:
     """Cut the hot keys of ``df`` along ``order`` (which should be unique within a key).
 
-    With ``keys`` empty the whole table is one group. Looking for hot keys reads the key columns once
-    more; ``settle`` says that ``df`` is the result of costly steps, so it is checkpointed first and those
-    steps run only once. Inputs that are provably small skip all of this.
+    With ``keys`` empty the whole table is one group. Hot keys are found by counting rows, which reads the key
+    columns once more; ``settle`` says that ``df`` is the result of costly steps, so it is checkpointed first and
+    those steps run only once. If ties leave no split point, the result is hot all the same, in one chunk.
     """
     keys, order = tuple(keys), tuple(order)
     plain = Chunked(df, keys, order, False)
-    if chunk_rows is None and is_small(df) and "spark.threatspark.rowsPerChunk" not in _conf(df):
-        return plain
     limit = rows_per_chunk(df, chunk_rows)
     if settle:
         df = _cut_lineage(df)
@@ -145,7 +136,7 @@ def chunked(
     schema = bounds.schema
     local = bounds.collect()  # at most 2 * MAX_CHUNKS split points in all
     if not local:
-        return plain
+        return Chunked(df.withColumn(CHUNK, F.lit(-1)), keys, order, True)
     table = df.sparkSession.createDataFrame(local, schema)
     longest = max(len(r["_bounds"]) for r in local)
     if keys:
@@ -157,11 +148,6 @@ def chunked(
     return Chunked(out, keys, order, True)
 
 
-def _conf(df: DataFrame) -> dict:
-    value = df.sparkSession.conf.get("spark.threatspark.rowsPerChunk", None)
-    return {} if value is None else {"spark.threatspark.rowsPerChunk": value}
-
-
 def _eq(rows: DataFrame, keys: Sequence[str]) -> Column:
     cond = None
     for k in keys:
@@ -323,8 +309,6 @@ def exact_quantiles(
     """
     df = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
     limit = group_rows if group_rows is not None else 1_000_000
-    if group_rows is None and is_small(df):
-        return _small_quantiles(df, keys, probs)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     largest = counts.agg(F.max("_n")).first()[0]
     if largest is None or largest <= limit:
@@ -343,7 +327,7 @@ def exact_quantiles(
         todo = bands.where((F.col("_in") > limit) & (F.col("_lo") < F.col("_hi")))
         if todo.isEmpty():
             break
-        inside = _keyed_join(df, _broadcast_if_counted(todo), base, how="inner").where(
+        inside = _keyed_join(df, counted_broadcast(todo), base, how="inner").where(
             F.col("_x").between(F.col("_lo"), F.col("_hi"))
         )
         grain = [*base, "prob"]
@@ -400,7 +384,7 @@ def exact_quantiles(
             break
 
     # A band now holds few rows or few distinct values: count values, then walk the counts.
-    inside = _keyed_join(df, _broadcast_if_counted(bands), base, how="inner").where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    inside = _keyed_join(df, counted_broadcast(bands), base, how="inner").where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
     grain = [*base, "prob"]
     freq = inside.groupBy(*grain, "_x").agg(
         F.count(F.lit(1)).alias("_c"), *[F.max(c).alias(c) for c in ("_below", "_k", "_k1", "_pos")]
@@ -441,7 +425,7 @@ def _keyed_join(left: DataFrame, right: DataFrame, names: Sequence[str], how: st
     return left.join(right, cond, how).drop(*[f"_j_{n}" for n in names])
 
 
-def _broadcast_if_counted(small: DataFrame, most: int = 200_000) -> DataFrame:
+def counted_broadcast(small: DataFrame, most: int = 200_000) -> DataFrame:
     """Broadcast a checkpointed helper table only after counting it; else leave the join to AQE."""
     return F.broadcast(small) if small.count() <= most else small
 

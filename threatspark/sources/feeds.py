@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from threatspark import schemas as S
+from threatspark import schemas as S, skew
 from threatspark.operators import cleaning
 
 
@@ -32,19 +32,16 @@ def read_blocklist(spark: SparkSession, path: str) -> DataFrame:
     return _not_empty(parse_blocklist(spark.read.text(path)), f"domains in {path}")
 
 
-def rank_domains(rows: DataFrame, sample_size: int = S.RANKED_SAMPLE) -> DataFrame:
-    """``position, domain`` of the first ``sample_size`` rows (``line_no, domain``), cleaned, without repeats.
-
-    The result has at most ``sample_size`` rows, so numbering it in one task is bounded.
-    """
-    head = rows.orderBy("line_no").limit(sample_size)
+def rank_domains(rows: DataFrame, sample_size: int | None = None) -> DataFrame:
+    """``position, domain`` of all rows (``line_no, domain``), or of the first ``sample_size``, cleaned, without repeats."""
+    head = rows if sample_size is None else rows.orderBy("line_no").limit(sample_size)
     name = F.lower(F.trim("domain"))
     names = head.where(F.lower("domain") != "domain").select("line_no", name.alias("domain"))
     first = names.groupBy("domain").agg(F.min("line_no").alias("line_no")).where(_usable(F.col("domain")))
-    return first.select(F.row_number().over(Window.orderBy("line_no")).cast("long").alias("position"), "domain")
+    return skew.row_numbers(first, [], ["line_no"], "position").select("position", "domain")
 
 
-def read_ranked_domains(spark: SparkSession, path: str, sample_size: int = S.RANKED_SAMPLE) -> DataFrame:
+def read_ranked_domains(spark: SparkSession, path: str, sample_size: int | None = None) -> DataFrame:
     """Ranked list in either form: ``rank,domain`` or ``domain`` alone, in file order."""
     lines = spark.read.text(path).select(
         "value",
