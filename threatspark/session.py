@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -40,3 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="spark-threatspark-", dir="/tmp")
     context.setCheckpointDir(named)
     return named
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to executors that do not have it installed, for the stages that run Python there.
+
+    The archive lies in the driver's own folder, from where Spark hands it out as long as the session lives.
+    """
+    home = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="threatspark-"), "threatspark")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(home), os.path.basename(home)))
