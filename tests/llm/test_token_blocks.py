@@ -34,9 +34,8 @@ def test_query_equals_whole_text_encoding(spark, sf):
     assert sorted(map(tuple, queries.QUERIES["op10_token_blocks"](spark, sf).collect())) == want
 
 
-def test_memory_of_words_is_bounded_without_loss(monkeypatch):
-    monkeypatch.setattr(T, "WORDS_KEPT", 5)
-    tool = T.Encoder(queries.vocabulary())
+def test_memory_of_words_is_bounded_without_loss():
+    tool = T.Encoder(queries.vocabulary(), 5)
     for k in range(6):
         text = " ".join(f"w{k * j}x{'y' * (80 * (j % 2))}" for j in range(9))
         assert tool.ids(text.encode()).tolist() == tool.tool.encode(text, add_special_tokens=False).ids

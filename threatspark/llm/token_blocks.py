@@ -103,12 +103,13 @@ class Encoder:
 
     PROBE = "It's  a Test, test. TEST 3.14\n\tdon't stop É é <|endoftext|> x<|startoftext|>y \u0301a"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words_kept: int = WORDS_KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {}
+        self.words_kept = words_kept
         if self.ids(self.PROBE.encode()).tolist() != self.tool.encode(self.PROBE, add_special_tokens=False).ids:
             raise ValueError("this tokenizer joins words across white space")
 
@@ -133,7 +134,7 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> bytes:
         kept = self.kept
-        if len(kept) > WORDS_KEPT:
+        if len(kept) > self.words_kept:
             kept.clear()
         # ASCII letters with a stop or comma are the small letters' ids and the mark's: their forms are encoded once.
         parts = {}
@@ -152,20 +153,21 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, words_kept: int) -> Encoder:
+    return Encoder(path, words_kept)
 
 
 SEGMENT_SCHEMA = "part int, number int, start_in_part long, first_doc long, n_docs int, n_ids long, tokens binary, doc_ids binary, lengths binary"
 _NAMES = [x.split()[0] for x in SEGMENT_SCHEMA.split(", ")]
 
 
-def encode(docs: DataFrame, tokenizer: str, parts: int | None = None, end_id: int = END_ID, block: int = BLOCK, share: float = SHARE, segment_ids: int = SEGMENT_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, parts: int | None = None, end_id: int = END_ID, block: int = BLOCK, share: float = SHARE, segment_ids: int = SEGMENT_IDS, words_kept: int = WORDS_KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Segments of all documents in ascending order of id: each text's ids and then ``end_id``.
 
     ``tokenizer`` is a file of the tokenizers library that every executor can open. Null and empty texts have only the end id. Rows
     of equal ids stand in the order of their texts; a null id comes first and is stored as the smallest long. Ids are taken as
-    longs; other columns are not looked at. An empty table gives no segment.
+    longs; other columns are not looked at. An empty table gives no segment. ``words_kept`` bounds a worker's memory of words
+    and changes no result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -174,7 +176,7 @@ def encode(docs: DataFrame, tokenizer: str, parts: int | None = None, end_id: in
     dealt = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "data").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _encoder(tokenizer)
+        tool = _encoder(tokenizer, words_kept)
         ids, lengths, made, held, number, part, before = [], [], [], 0, 0, 0, 0
 
         def segment() -> pa.RecordBatch:
