@@ -304,7 +304,9 @@ def labelled_pages(pages: DataFrame, sample: int = SAMPLE, longest: int = LONGES
     to ``sample`` pages of up to ``longest`` characters."""
     html = column(html_col)
     picked = pages.where((F.length(html) <= longest) & F.contains(F.lower(html), F.lit("<article"))).select(column(id_col).alias("i"), html.alias("h"))
-    rows = picked.orderBy(F.xxhash64("i"), "i", "h").limit(sample).collect()
+    # Ids are picked without their pages, so that no task sends more than a few numbers.
+    ids = [r.i for r in picked.where("i IS NOT NULL").select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(sample).collect()]
+    rows = picked.where(F.col("i").isin(ids)).groupBy("i").agg(F.min("h").alias("h")).orderBy("i").collect()
     out = [marked_labels(x) for x in layout_pages()]
     for row in rows:
         page = parse(row.h)
