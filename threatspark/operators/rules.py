@@ -120,7 +120,7 @@ def behavior_verdict(flag: Column, version: str = S.BEHAVIOR_VERSION) -> Column:
 
 def decide_flows(
     scored: DataFrame,
-    threshold: float,
+    threshold: float | None,
     top_features: list[str],
     *,
     behavior_flag: str = "alert_triggered",
@@ -129,12 +129,16 @@ def decide_flows(
     min_ports: int = 10,
     max_packets: int = 5,
 ) -> DataFrame:
-    """Full decision order: outbound behaviour, SYN flood, port scan, then the models."""
+    """Full decision order: outbound behaviour, SYN flood, port scan, then the models.
+
+    Without a threshold no model is asked, and what no rule names is benign.
+    """
+    quiet = verdict(S.BENIGN, F.lit(0.0), F.lit(0.0), F.array().cast("array<string>"), S.MODEL_VERSION)
     chosen = F.coalesce(
         behavior_verdict(F.col(behavior_flag)),
         syn_flood_rule(min_syn, min_pps),
         port_scan_rule(min_ports, max_packets),
-        model_verdict(threshold, top_features),
+        quiet if threshold is None else model_verdict(threshold, top_features),
     )
     return _unpack(scored, chosen)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("flow_queries", "table_queries", "detector_queries", "alert_queries")
+MODULES = ("flow_queries", "table_queries", "detector_queries", "alert_queries", "detection_queries")
 
 
 def load_all():

@@ -2,13 +2,12 @@
 
 Each is a keyed state machine on event time. Rows of a micro-batch are taken in ``(time, seq)`` order; rows
 behind the watermark are dropped by Spark and counted in the query progress. Timers free idle keys.
-State is a handful of scalars, or one entry per distinct instant of the open window.
+State is a handful of scalars, or the entries of the open window in buckets of time (``windows``).
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -17,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from threatspark import schemas as S
 from threatspark.operators.behavior import baseline_step, with_behavior_verdict
 from threatspark.operators.flows import FIVE_TUPLE
+from threatspark.streaming.windows import BUCKETS, TrailingCounts, TrailingDistinct
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIME = "event_us"  # the Python side renames columns that start with an underscore
@@ -181,6 +181,7 @@ def finish_flows(raw: DataFrame) -> DataFrame:
         "syn_count",
         rate(F.col("byte_count"), duration).alias("flow_bytes_per_second"),
         "fwd_packet_length_min",
+        *(["closed"] if "closed" in raw.columns else []),
     )
 
 
@@ -239,36 +240,8 @@ def classify_behavior(
 
 
 # --- windows over instants ------------------------------------------------------------------------------------------
-class WindowState:
-    """Counts per distinct instant and kind inside the trailing window."""
-
-    def __init__(self, entries: Iterable[tuple]):
-        self.times, self.kinds, self.counts = [], [], []
-        for t, kind, n in sorted(tuple(e) for e in entries):
-            self.times.append(t)
-            self.kinds.append(kind)
-            self.counts.append(n)
-
-    def add(self, t: int, kind: str, oldest: int) -> None:
-        cut = bisect_left(self.times, oldest)
-        if cut:
-            del self.times[:cut], self.kinds[:cut], self.counts[:cut]
-        i = bisect_left(self.times, t)
-        while i < len(self.times) and self.times[i] == t:
-            if self.kinds[i] == kind:
-                self.counts[i] += 1
-                return
-            i += 1
-        self.times.insert(i, t)
-        self.kinds.insert(i, kind)
-        self.counts.insert(i, 1)
-
-    def entries(self) -> list[tuple]:
-        return list(zip(self.times, self.kinds, self.counts))
-
-
 class WindowProcessor(KeyedProcessor):
-    """Trailing window in list state; subclasses turn it into an output row."""
+    """Trailing window as bucketed counts; subclasses turn the counts into an output row."""
 
     state_schema = "last long"
 
@@ -278,30 +251,28 @@ class WindowProcessor(KeyedProcessor):
 
     def init(self, handle):
         super().init(handle)
-        self.entries = handle.getListState("entries", "t long, kind string, n long")
+        self.window = TrailingCounts(handle, "window", self.width)
 
     def begin(self):
-        last = self.state.get()[0] if self.state.exists() else None
-        return [WindowState(self.entries.get()), last]
+        self.window.begin()
+        return self.state.get()[0] if self.state.exists() else None
 
     def finish(self, value, last_us):
-        window, last = value
-        self.entries.put(window.entries())
-        if last is not None:
-            self.state.update((last,))
+        self.window.finish()
+        if value is not None:
+            self.state.update((value,))
         self.expire_at(_expiry_ms(last_us, self.hold))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.entries.clear()
+        self.window.clear()
         self.state.clear()
         return iter(())
 
 
 class RateProcessor(WindowProcessor):
     def step(self, value, row):
-        t, window = int(row[TIME]), value[0]
-        window.add(t, "", t - self.width)
-        return value, [(*[row[c] for c in self.keep], int(sum(window.counts)))]
+        counts = self.window.add(int(row[TIME]), "")
+        return value, [(*[row[c] for c in self.keep], counts[""])]
 
 
 def query_rates(
@@ -320,18 +291,16 @@ class FusionProcessor(WindowProcessor):
         super().__init__(names, keep, "seq", width_us, max(width_us, cooldown_us))
         self.cooldown = cooldown_us
 
-    def step(self, value, row):
-        window, last = value
+    def step(self, last, row):
         t = int(row[TIME])
-        window.add(t, row["signal_type"], t - self.width)
-        present = sorted(set(window.kinds))
+        present = sorted(self.window.add(t, row["signal_type"]))
         if len(present) < 2:
             severity, kind = "LOW", f"{row['signal_type']}_DETECTION"
         else:
             fresh = last is None or t - last >= self.cooldown
             severity, kind = ("HIGH" if fresh else "SUPPRESSED"), S.DATA_EXFILTRATION
             last = t if fresh else last
-        return [window, last], [(*[row[c] for c in self.keep], present, severity, kind)]
+        return last, [(*[row[c] for c in self.keep], present, severity, kind)]
 
 
 def fuse(
@@ -387,33 +356,52 @@ def suppress_repeats(
 
 
 class CardinalityProcessor(KeyedProcessor):
-    """Seen destinations and ports in map state: one small entry each, optionally with a time to live."""
+    """Destinations and ports that a source has met, ever or within a time to live of event time."""
 
-    state_schema = "destinations long, ports long"
+    state_schema = "newest long"
 
-    def __init__(self, names, keep, seq, ttl_ms):
+    def __init__(self, names, keep, seq, ttl_us):
         super().__init__(names, seq)
-        self.keep, self.ttl = keep, ttl_ms
+        self.keep, self.ttl = keep, ttl_us
 
     def init(self, handle):
         super().init(handle)
-        self.seen_dst = handle.getMapState("dst", "dst string", "seen boolean", self.ttl)
-        self.seen_port = handle.getMapState("port", "port long", "seen boolean", self.ttl)
+        self.seen = [TrailingDistinct(handle, name, self.ttl) for name in ("dst", "port")]
+
+    def begin(self):
+        for window in self.seen:
+            window.begin()
 
     def step(self, value, row):
-        destinations, ports = value if value is not None else (0, 0)
-        if not self.seen_dst.containsKey((row["dst_ip"],)):
-            self.seen_dst.updateValue((row["dst_ip"],), (True,))
-            destinations += 1
-        if not self.seen_port.containsKey((int(row["dst_port"]),)):
-            self.seen_port.updateValue((int(row["dst_port"]),), (True,))
-            ports += 1
-        return (destinations, ports), [(*[row[c] for c in self.keep], destinations, ports)]
-
-
-def running_cardinalities(flows: DataFrame, delay: str = "10 seconds", ttl_ms: int | None = None) -> DataFrame:
-    """Destinations and ports a source has contacted up to each flow, in close order."""
+        t = int(row[TIME])
+        counts = [window.add(t, str(x)) for window, x in zip(self.seen, (row["dst_ip"], int(row["dst_port"])))]
+        return value, [(*[row[c] for c in self.keep], *counts)]
+
+    def finish(self, value, last_us):
+        for window in self.seen:
+            window.finish()
+        if self.ttl is not None:
+            self.expire_at(_expiry_ms(last_us, self.ttl))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Take back what event time has left behind, and wake again for what remains."""
+        now = timerValues.getCurrentWatermarkInMs()
+        self.begin()
+        left = [window.expire(now * 1000 - self.ttl) for window in self.seen]
+        for window in self.seen:
+            window.finish()
+        if any(left):
+            self.handle.registerTimer(now + max(1, self.ttl // 1000 // BUCKETS))
+        return iter(())
+
+
+def running_cardinalities(flows: DataFrame, delay: str = "10 seconds", ttl_seconds: float | None = None) -> DataFrame:
+    """Destinations and ports a source has contacted up to each flow, in close order.
+
+    With ``ttl_seconds`` only contacts of the closed window of that width count, as in a trailing distinct count.
+    """
     keep = list(flows.columns)
     schema = _schema(flows, keep, unique_destinations=T.LongType(), unique_dest_ports=T.LongType())
     names = [*keep, "unique_destinations", "unique_dest_ports"]
-    return run(flows, ["src_ip"], "timestamp", delay, CardinalityProcessor(names, keep, "flow_id", ttl_ms), schema)
+    ttl = None if ttl_seconds is None else _micros(ttl_seconds)
+    return run(flows, ["src_ip"], "timestamp", delay, CardinalityProcessor(names, keep, "flow_id", ttl), schema)
