@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threatspark.llm.common import column, small_batches
+from threatspark.llm.common import column, release, small_batches
 
 #: The mark that stands for a blank inside pieces.
 BLANK = "▁"
@@ -156,20 +156,18 @@ class PrefixCounter:
         """Step of the count at each code point of each text: int8, or int32 where a step of the text needs it."""
         marked = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
         units = [self.split(t) if self.split else [t] * bool(t) for t in marked]
-        every = set().union(*units)
-        new = every.difference(self.units)
-        if len(self.units) + len(new) > self.units_kept:
+        if len(self.units) > self.units_kept:
             self.units.clear()
-            new = every
-        found = self.learn(new)
-        self.units.update((u, steps) for u, steps in found.items() if steps is not None and len(u) <= LONGEST_KEPT)
-        rare = {u: steps for u, steps in found.items() if u not in self.units}
+        look = self.units.get
+        found = [list(map(look, line)) for line in units]
+        gaps = {i: [k for k, x in enumerate(line) if x is None] for i, line in enumerate(found) if None in line}
+        new = self.learn({units[i][k] for i, places in gaps.items() for k in places}) if gaps else {}
+        for i, places in gaps.items():
+            for k in places:
+                found[i][k] = new[units[i][k]]
+        self.units.update((u, steps) for u, steps in new.items() if steps is not None and len(u) <= LONGEST_KEPT)
         out = []
-        for line in units:
-            try:
-                parts = list(map(self.units.__getitem__, line))
-            except KeyError:
-                parts = [rare[u] if u in rare else self.units[u] for u in line]
+        for line, parts in zip(units, found):
             if not line:
                 out.append(np.empty(0, np.int8))
                 continue
@@ -218,6 +216,7 @@ def index(docs: DataFrame, model: str, keep: Iterable[str] = ("doc_id",), text:
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, kind)]
             found = pa.StructArray.from_arrays(columns, fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[*kept, into])
+        release()
 
     return given.mapInArrow(count, schema)
 
