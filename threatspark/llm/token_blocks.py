@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threatspark.llm.common import column, settle, small_batches
+from threatspark.llm.common import column, release, settle, small_batches
 
 MAGIC = b"PFOR"
 BLOCK = 4096
@@ -27,6 +27,8 @@ SHARE = 0.95
 #: A segment is closed by the document that brings it to this many ids.
 SEGMENT_IDS = 1 << 17
 END_ID = 1
+#: A task sorts about so many bytes of ids.
+PART_BYTES = 64 << 20
 #: Words whose ids a worker remembers before its memory starts anew.
 WORDS_KEPT = 1_000_000
 #: Longer words are encoded each time and not remembered.
@@ -101,6 +103,8 @@ class Encoder:
     memory of bounded size. A tokenizer for which this does not hold on a probe, or that sets case or marks apart, is refused.
     """
 
+    #: A word of one token, told apart from all others by its character.
+    MARK = "\U0001f602"
     PROBE = "It's  a Test, test. TEST 3.14\n\tdon't stop É é <|endoftext|> x<|startoftext|>y \u0301a"
 
     def __init__(self, path: str, words_kept: int = WORDS_KEPT) -> None:
@@ -110,46 +114,62 @@ class Encoder:
         self.tool = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {}
         self.words_kept = words_kept
+        mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         if self.ids(self.PROBE.encode()).tolist() != self.tool.encode(self.PROBE, add_special_tokens=False).ids:
             raise ValueError("this tokenizer joins words across white space")
 
     def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of different words, encoded as one text; the tokens' places in it tell whose they are."""
+        """Ids of different words by one call, without the tokens' places: a mark between the words tells whose they are.
+
+        Only text with the mark's character can have the mark's id, so words that hold it are given to the call one by one.
+        """
         texts = [w.decode() for w in words]
-        found = self.tool.encode(" ".join(texts), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        begin = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-        counts = np.bincount(np.searchsorted(ends, begin, "right"), minlength=len(words))
-        line = np.array(found.ids, "<u4").tobytes()
-        stops = (4 * np.cumsum(counts)).tolist()
-        return {w: line[i:j] for w, i, j in zip(words, [0, *stops], stops)}
+        told = self.mark is not None
+        joined = [(w, t) for w, t in zip(words, texts) if told and self.MARK not in t]
+        single = [(w, t) for w, t in zip(words, texts) if not told or self.MARK in t]
+        found = {}
+        if joined:
+            line = np.array(self.tool.encode_batch_fast([f" {self.MARK} ".join(t for _, t in joined)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(line == self.mark).tolist()
+            data = line.tobytes()
+            found = {w: data[4 * i + 4 : 4 * j] for (w, _), i, j in zip(joined, [-1, *stops], [*stops, len(line)])}
+        if single:
+            made = self.tool.encode_batch_fast([t for _, t in single], add_special_tokens=False)
+            found.update((w, np.array(x.ids, "<u4").tobytes()) for (w, _), x in zip(single, made))
+        return found
+
+    def ids_of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text; the words that are new in all of them are encoded together."""
+        if len(self.kept) > self.words_kept:
+            self.kept.clear()
+        look = self.kept.get
+        lines = [t.split() for t in texts]
+        found = [list(map(look, words)) for words in lines]
+        gaps = {i: [k for k, x in enumerate(line) if x is None] for i, line in enumerate(found) if None in line}
+        fresh = self._learn({lines[i][k] for i, places in gaps.items() for k in places}) if gaps else {}
+        for i, places in gaps.items():
+            for k in places:
+                found[i][k] = fresh[lines[i][k]]
+        self.kept.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_KEPT)
+        return [np.frombuffer(b"".join(line), "<u4") for line in found]
 
     def ids(self, data: bytes) -> np.ndarray:
-        words = data.split()
-        try:
-            line = b"".join(map(self.kept.__getitem__, words))
-        except KeyError:
-            line = self._learn(words)
-        return np.frombuffer(line, "<u4")
-
-    def _learn(self, words: list[bytes]) -> bytes:
+        return self.ids_of([data])[0]
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         kept = self.kept
-        if len(kept) > self.words_kept:
-            kept.clear()
         # ASCII letters with a stop or comma are the small letters' ids and the mark's: their forms are encoded once.
         parts = {}
-        for w in set(words):
-            if w not in kept:
-                tail = w[-1:] if w[-1:] in (b".", b",") else b""
-                stem = w[: len(w) - len(tail)].lower()
-                parts[w] = (stem, tail) if stem.isalpha() else (w, b"")
+        for w in words:
+            tail = w[-1:] if w[-1:] in (b".", b",") else b""
+            stem = w[: len(w) - len(tail)].lower()
+            parts[w] = (stem, tail) if stem.isalpha() else (w, b"")
         wanted = {x for pair in parts.values() for x in pair if x and x not in kept}
         fresh = self._fresh(list(wanted))
         find = lambda x: fresh[x] if x in fresh else kept[x]
         fresh.update([(w, find(stem) + find(tail) if tail else find(stem)) for w, (stem, tail) in parts.items()])
-        line = b"".join(map(find, words))
-        kept.update((w, x) for w, x in fresh.items() if len(w) <= LONGEST_KEPT)
-        return line
+        return fresh
 
 
 @lru_cache(maxsize=2)
@@ -165,18 +185,31 @@ def encode(docs: DataFrame, tokenizer: str, parts: int | None = None, end_id: in
     """Segments of all documents in ascending order of id: each text's ids and then ``end_id``.
 
     ``tokenizer`` is a file of the tokenizers library that every executor can open. Null and empty texts have only the end id. Rows
-    of equal ids stand in the order of their texts; a null id comes first and is stored as the smallest long. Ids are taken as
+    of equal doc ids stand in the order of their token ids; a null id comes first and is stored as the smallest long. Ids are taken as
     longs; other columns are not looked at. An empty table gives no segment. ``words_kept`` bounds a worker's memory of words
     and changes no result.
     """
     spark = docs.sparkSession
     small_batches(spark)
     slim = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), column(text_col).cast("binary").alias("data"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "data").withColumn("part", F.spark_partition_id())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _encoder(tokenizer, words_kept)
+        kind = "<u2" if tool.tool.get_vocab_size() <= 1 << 16 else "<u4"
+        for batch in batches:
+            found = tool.ids_of([x or b"" for x in batch.column(1).to_pylist()])
+            lines = [x.astype(kind).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(kind[2])] * len(lines), pa.int32()), pa.array(lines, pa.binary())], ["doc_id", "width", "ids"])
+        release()
+
+    # Texts are read once, where they lie; only their ids are sorted and travel.
+    made_ids = settle(slim.mapInArrow(to_ids, "doc_id long, width int, ids binary"))
+    if parts is None:
+        size = made_ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+    dealt = made_ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "width", "ids").withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths, made, held, number, part, before = [], [], [], 0, 0, 0, 0
 
         def segment() -> pa.RecordBatch:
@@ -187,8 +220,8 @@ def encode(docs: DataFrame, tokenizer: str, parts: int | None = None, end_id: in
 
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for doc, data, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                got = tool.ids(data or b"")
+            for doc, width, data, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                got = np.frombuffer(data, f"<u{width}").astype("<u4")
                 ids.append(doc)
                 lengths.append(len(got) + 1)
                 made += [got, end]
@@ -198,6 +231,7 @@ def encode(docs: DataFrame, tokenizer: str, parts: int | None = None, end_id: in
                     ids, lengths, made, before, held, number = [], [], [], before + held, 0, number + 1
         if ids:
             yield segment()
+        release()
 
     return dealt.mapInArrow(run, SEGMENT_SCHEMA)
 
