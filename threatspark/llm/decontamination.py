@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from threatspark.llm.common import column, small_batches
+from threatspark.llm.common import column, release, small_batches
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -205,6 +205,7 @@ def _scan(lot: list[tuple], words: int, radius: int, least: float):
                 docs, items, values, distances, starts, sizes = zip(*rows)
                 made = [batch.column(0).take(pa.array(docs)), pa.array(items), pa.array(values), pa.array(distances, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32())]
                 yield pa.RecordBatch.from_arrays(made, names)
+        release()
 
     return run
 
