@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from threatspark import schemas as S, skew
@@ -76,15 +77,16 @@ class IsolationForest:
         forest = spark.sparkContext.broadcast(_pack(table))
         features = list(self.features)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = forest.value
             for batch in batches:
-                x = batch[features].to_numpy(dtype="float64")
-                batch[name] = _score(packed, x)
-                yield batch
+                at = [batch.schema.get_field_index(c) for c in features]
+                x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype("float64") for i in at])
+                scores = pa.array(_score(packed, x), pa.float64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
         schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
-        return df.mapInPandas(run, schema)
+        return df.mapInArrow(run, schema)
 
 
 def _pack(table: pd.DataFrame) -> dict[str, np.ndarray]:
