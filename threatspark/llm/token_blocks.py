@@ -27,8 +27,10 @@ SHARE = 0.95
 #: A segment is closed by the document that brings it to this many ids.
 SEGMENT_IDS = 1 << 17
 END_ID = 1
-#: A task sorts about so many bytes of ids.
-PART_BYTES = 64 << 20
+#: A task orders the ids of about so many bytes of text, in a few ranges of documents; ranges are cut at quantiles of the id.
+PART_BYTES = 128 << 20
+RANGES_A_TASK = 4
+QUANTILES = 2048
 #: Words whose ids a worker remembers before its memory starts anew.
 WORDS_KEPT = 1_000_000
 #: Longer words are encoded each time and not remembered.
@@ -177,6 +179,20 @@ def _encoder(path: str, words_kept: int) -> Encoder:
     return Encoder(path, words_kept)
 
 
+def _cuts(slim: DataFrame, parts: int | None) -> np.ndarray:
+    """Ids at which a new range of documents begins; ranges are near equal in rows, and as many as the bytes of the texts need."""
+    quantiles = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n)
+    cuts, size = slim.agg(quantiles(QUANTILES), F.sum(F.octet_length("data"))).first()
+    if cuts is None:
+        return np.empty(0, np.int64)
+    least = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = parts or RANGES_A_TASK * max(least, -(-(size or 0) // PART_BYTES))
+    if wanted > QUANTILES:
+        cuts = slim.agg(quantiles(wanted)).first()[0]
+    known = len(cuts) + 1
+    return np.unique(np.array(cuts, np.int64)[[i * known // wanted - 1 for i in range(1, wanted)]])
+
+
 SEGMENT_SCHEMA = "part int, number int, start_in_part long, first_doc long, n_docs int, n_ids long, tokens binary, doc_ids binary, lengths binary"
 _NAMES = [x.split()[0] for x in SEGMENT_SCHEMA.split(", ")]
 
@@ -193,21 +209,23 @@ def encode(docs: DataFrame, tokenizer: str, parts: int | None = None, end_id: in
     small_batches(spark)
     slim = docs.select(F.coalesce(column(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), column(text_col).cast("binary").alias("data"))
 
+    cuts = _cuts(slim, parts)
+
     def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _encoder(tokenizer, words_kept)
         kind = "<u2" if tool.tool.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
             found = tool.ids_of([x or b"" for x in batch.column(1).to_pylist()])
             lines = [x.astype(kind).tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([int(kind[2])] * len(lines), pa.int32()), pa.array(lines, pa.binary())], ["doc_id", "width", "ids"])
+            at = np.searchsorted(cuts, batch.column(0).to_numpy(), "right").astype(np.int32)
+            columns = [pa.array(at), batch.column(0), pa.array([int(kind[2])] * len(lines), pa.int32()), pa.array(lines, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "width", "ids"])
         release()
 
-    # Texts are read once, where they lie; only their ids are sorted and travel.
-    made_ids = settle(slim.mapInArrow(to_ids, "doc_id long, width int, ids binary"))
-    if parts is None:
-        size = made_ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
-    dealt = made_ids.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "width", "ids").withColumn("part", F.spark_partition_id())
+    # Texts are read where they lie; only their ids travel, each range of documents to one task.
+    made_ids = slim.mapInArrow(to_ids, "part int, doc_id long, width int, ids binary")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-len(cuts) // RANGES_A_TASK))
+    dealt = made_ids.repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "width", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, lengths, made, held, number, part, before = [], [], [], 0, 0, 0, 0
@@ -220,7 +238,11 @@ def encode(docs: DataFrame, tokenizer: str, parts: int | None = None, end_id: in
 
         end = np.array([end_id], "<u4")
         for batch in batches:
-            for doc, width, data, part in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for now, doc, width, data in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if now != part:
+                    if ids:
+                        yield segment()
+                    ids, lengths, made, held, number, part, before = [], [], [], 0, 0, now, 0
                 got = np.frombuffer(data, f"<u{width}").astype("<u4")
                 ids.append(doc)
                 lengths.append(len(got) + 1)
