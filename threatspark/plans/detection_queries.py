@@ -12,6 +12,7 @@ from threatspark.plans import adapters as D
 from threatspark.plans.alert_queries import _RULE, _TEMPORAL, _TRAFFIC
 from threatspark.plans.registry import query, rounded
 from threatspark.session import ensure_checkpoint_dir
+from threatspark.sources import sinks
 
 SETTINGS = DT.Settings(min_syn=2, min_pps=0.5, max_packets=1, warmup=3, z_limit=2.0, slow_seconds=4.0, slow_pps=1.0)
 
@@ -95,3 +96,17 @@ def detection_stream(spark, path):
 
     packets = D.packets(spark, path).drop("seq")
     return flat(chain.replay(packets, SETTINGS))
+
+
+@query(
+    "stored_alerts",
+    f"""{DETECTION_SQL} SELECT 'a_' || md5(flow_id || '|' || threat_class || '|' || model_version) AS alert_id, last_us AS ts_us, threat_class,
+    CASE WHEN threat_class = 'SYN_FLOOD' THEN 'REVIEWED' ELSE {_SEVERITY} END AS severity FROM hs WHERE NOT suppressed""",
+)
+def stored_alerts(spark, path):
+    """Alerts in the store after two upserts: all of them, and those of one class again with another severity."""
+    store = sinks.AlertStore(spark, f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}")
+    alerts = DT.detect(D.packets(spark, path), settings=SETTINGS)
+    store.upsert("alerts", alerts)
+    store.upsert("alerts", store.read("alerts").where(F.col("threat_class") == S.SYN_FLOOD).withColumn("severity", F.lit("REVIEWED")))
+    return store.read("alerts").select("alert_id", F.unix_micros("timestamp").alias("ts_us"), "threat_class", "severity")
