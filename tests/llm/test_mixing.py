@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, sf):
     got = queries.QUERIES["op4_mixing"](spark, sf).toPandas()
     assert oracle.compare(got, oracle.connect(sf).execute(queries.ORACLES["op4_mixing"]).df()) is None
     by = got.groupby("source_size").agg(taken=("taken", "sum"), target=("target", "first"))
-    assert (abs(by.taken - by.target) <= 0.5).all() and (got.taken <= 2 * got["size"]).all()
+    assert (abs(by.taken - by.target) <= got.groupby("source_size")["size"].max() / 2 + 0.5).all() and (got.taken <= 2 * got["size"]).all()
 
 
 def test_targets_share_what_full_sources_leave():
@@ -46,7 +46,7 @@ def test_draws_are_disjoint_and_shards_exact(spark, monkeypatch):
         words[r.source] += sum(d.words for d in r.mix.draws)
     assert set(count) == set(range(6)) and max(count.values()) - min(count.values()) <= 1
     target = {r.source: r.mix.target for r in planned}
-    assert all(abs(words[s] - target[s]) <= 0.5 for s in target)
+    assert all(abs(words[s] - target[s]) <= 1.5 for s in target)
     mixed = M.mix(docs, shards=6)
     assert mixed.columns == ["doc_id", "text", "source", "shard"]
     rows = mixed.collect()
@@ -55,9 +55,48 @@ def test_draws_are_disjoint_and_shards_exact(spark, monkeypatch):
     assert sorted(map(str, rows)) == sorted(map(str, M.mix(docs.repartition(2), shards=6).collect()))
 
 
-def test_cut_keeps_white_space(spark):
-    frame = spark.createDataFrame([(" a  b\nc d", 2), ("a b", 1), ("a\tb c", 2)], "t string, n int")
-    assert [r[0] for r in frame.select(M.first_words(frame.t, frame.n)).collect()] == [" a  b", "a", "a\tb"]
+def test_documents_are_whole_and_come_nearest(spark):
+    """The last draw is the document that brings a source nearest to its target, and nothing is cut."""
+    sizes = [40, 7, 90, 3, 55, 21, 300, 1]
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)] + [(100, "v " * 5000, "b"), (101, "v " * 200, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r[1] for r in rows}
+    mixed = M.mix(docs, shards=3, share=Fraction(1, 3), weights=(1, 9)).collect()
+    assert {r.text for r in mixed} <= texts
+    planned = M.plan(docs, shards=3, share=Fraction(1, 3), weights=(1, 9)).collect()
+    for source in "ab":
+        mine = [r for r in planned if r.source == source]
+        taken, target = sum(d.words for r in mine for d in r.mix.draws), mine[0].mix.target
+        others = [r.mix.size for r in mine if not r.mix.draws]
+        assert all(abs(taken - target) <= abs(taken + n - target) + 0.5 for n in others)
+
+
+def test_clashing_names(spark):
+    names = ["target", "rest", "rounds", "rank0", "word0", "source_n", "source_size", "deals", "n", "words", "size", "ends", "shard", "mix", "k", "at", "start"]
+    rows = [(i, "w " * (i % 5), "ab"[i % 2], *range(len(names))) for i in range(40)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{c}` int" for c in names)
+    docs = spark.createDataFrame(rows, schema)
+    planned = M.plan(docs, shards=2)
+    assert planned.columns == [c for c in docs.columns if c != "mix"] + ["mix"] and planned.count() == 40
+    mixed = M.mix(docs, shards=2)
+    assert set(mixed.columns) == set(docs.columns) - {"mix"} and mixed.count() > 0
+    assert all(r["rest"] == 1 and r["target"] == 0 for r in mixed.collect())
+
+
+def test_shards_hold_what_the_tree_dealt(spark, monkeypatch):
+    """Draws of each source in each shard equal the tree's numbers, whatever the cells."""
+    dealt = []
+    tree = M.split_quotas
+    monkeypatch.setattr(M, "split_quotas", lambda *a: dealt.append(tree(*a)) or dealt[-1])
+    rows = [(i % 50 if i % 3 else None, f"t{i} " * (i % 9), "abc"[i % 3]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for cell_rows in (5, 1000):
+        monkeypatch.setattr(M, "CELL_ROWS", cell_rows)
+        counts = Counter((d.shard, r.source) for r in M.plan(docs, shards=7).collect() for d in r.mix.draws)
+        per_shard = sorted(tuple(counts[k, s] for s in "abc") for k in range(7))
+        table = dealt[-1]
+        assert sorted(table.sum(axis=0).tolist()) == sorted(sum(counts[k, s] for k in range(7)) for s in "abc")
+        assert [sorted(row) for row in table.tolist()] == [sorted(counts[k, s] for s in "abc") for k in range(7)] and per_shard
 
 
 def test_odd_rows(spark, odd_docs, no_docs):

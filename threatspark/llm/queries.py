@@ -41,7 +41,7 @@ def op4_mixing(spark, sf_dir):
 # Saturated sources are the first ones by words for each unit of weight; fractions stay whole numbers until one division.
 ORACLES["op4_mixing"] = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS words, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w FROM d GROUP BY source
 ), r AS (
@@ -57,11 +57,19 @@ WITH d AS (
 ), q AS (
   SELECT source, words, num::DOUBLE / den::DOUBLE AS target, (2 * num + den) // (2 * den) AS quota FROM t
 ), p AS (
-  SELECT doc_id, size, words, target, CASE WHEN words = 0 THEN 0 ELSE quota // words END AS rounds, quota,
-    (sum(size) OVER (PARTITION BY d.source ORDER BY md5('0|' || doc_id), size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start
+  SELECT doc_id, size, words, target, CASE WHEN words = 0 THEN 0 ELSE quota // words END AS rounds, quota, d.source,
+    row_number() OVER o AS pos, (sum(size) OVER (o ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  WINDOW o AS (PARTITION BY d.source ORDER BY md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), size)
+), g AS (
+  SELECT *, quota - rounds * words AS rest FROM p
+), h AS (
+  SELECT *, rest > 0 AND upto <= rest AS fits, rest - coalesce(max(upto) FILTER (rest > 0 AND upto <= rest) OVER (PARTITION BY source), 0) AS gap FROM g
+), e AS (
+  SELECT *, rest > 0 AND NOT fits AND abs(size - gap) < gap
+    AND row_number() OVER (PARTITION BY source, rest > 0 AND NOT fits ORDER BY abs(size - gap), pos) = 1 AS extra FROM h
 )
-SELECT doc_id, size, words AS source_size, target, rounds * size + greatest(0, least(size, quota - rounds * words - start)) AS taken FROM p
+SELECT doc_id, size, words AS source_size, target, rounds * size + CASE WHEN fits OR extra THEN size ELSE 0 END AS taken FROM e
 """
 
 
