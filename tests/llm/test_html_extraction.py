@@ -18,12 +18,11 @@ def test_messages_give_exact_marginals(model):
     total, ones = 0.0, [0.0] * n
     import math
 
-    for rest in itertools.product((0, 1), repeat=n - 1):
-        y = (0, *rest)
+    for y in itertools.product((0, 1), repeat=n):
         p = 1.0
-        for i in range(1, n):
+        for i in range(n):
             w = max(-30.0, min(30.0, weights[i]))
-            p *= model.below.get(page.tags[i], model.other)[y[page.parents[i]]][y[i]] / (1 + math.exp(-w if y[i] else w))
+            p *= (1.0 if not i else model.below.get(page.tags[i], model.other)[y[page.parents[i]]][y[i]]) / (1 + math.exp(-w if y[i] else w))
         total += p
         ones = [a + p * b for a, b in zip(ones, y)]
     assert [round(a / total, 9) for a in ones] == [round(m, 9) for m in H.marginals(page, model)]
@@ -67,6 +66,19 @@ def test_odd_rows(spark, model):
     frame = spark.createDataFrame(rows, "page_id long, html string, text string")
     out = H.extract(frame, model).collect()
     assert len(out) == 5 and [r.text for r in out if r.page_id == 1] == ["", ""]
+    assert [r.text for r in out if r.page_id == 2] == ["plain", "plain"]
     assert [r.n_chars for r in out if r.page_id is None] == [len("Long text. " * 30_000) - 1]
     assert H.extract(frame.where("false"), model).collect() == []
     assert len(H.labelled_pages(frame.where("false"))) == len(H.layout_pages())
+
+
+@pytest.mark.parametrize("html,text", [
+    ("A page of bare text. It has no tag at all, and goes on.", None),
+    ("First line of text.\nSecond one.", "First line of text. Second one."),
+    ("<p>First paragraph, long enough to count.</p><p>Second paragraph, no shorter.</p>", "First paragraph, long enough to count.\nSecond paragraph, no shorter."),
+    ("<article><p>Some text here. More of it.</p></article> A tail after the article. And one more.", "Some text here. More of it.\nA tail after the article. And one more."),
+    ("<div class=menu><a href=x>a</a> <a href=y>b</a></div>Some bare text after a menu. It goes on.", "Some bare text after a menu. It goes on."),
+    ("<html><body><nav><a href=x>Home</a></nav><article><p>Some text here. More of it.</p></article></body></html>", "Some text here. More of it."),
+])
+def test_text_outside_elements(model, html, text):
+    assert H.main_text(html, model) == (html if text is None else text)

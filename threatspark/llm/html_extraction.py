@@ -26,7 +26,7 @@ RAW = set("script style textarea title noscript template iframe xmp".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul "
-    "script style noscript template iframe textarea".split()
+    "script style noscript template iframe textarea #text".split()
 )
 #: A start tag ends the open elements on the left side of these, unless one of the right side stands between.
 ENDED_BY = {
@@ -48,6 +48,8 @@ _STOP = re.compile(r"[.!?…。]")
 SAMPLE = 300
 LONGEST_LABELLED = 100_000
 SMOOTH = 0.5
+#: How a made fragment says that what stands outside its elements is main text.
+MAIN_ROOT = "<!--data-main-->"
 #: Names by which a piece inside an article is labelled as not belonging to it.
 APART = set(
     "ad ads advert advertisement banner breadcrumb comment comments cookie disclaimer feedback footer form header login menu nav navigation "
@@ -65,10 +67,22 @@ class Page(NamedTuple):
 
 
 def parse(html: str) -> Page:
-    """Elements and texts of a page; unclosed, crossed and stray tags are mended as browsers do in the common cases."""
+    """Elements and texts of a page; unclosed, crossed and stray tags are mended as browsers do in the common cases.
+
+    Text outside all elements stands in an implied element ``#text`` for each run of it, which is a block and has a label of its own.
+    """
     tags, parents, names, events = ["#root"], [-1], [()], []
     stack, at, size = [0], 0, len(html)
 
+    def say(text: str) -> None:
+        if len(stack) == 1 and text.strip():
+            tags.append("#text")
+            parents.append(0)
+            names.append(())
+            events.append((-1, ""))
+            stack.append(len(tags) - 1)
+        events.append((stack[-1], text))
+
     def close_to(depth: int) -> None:
         if any(tags[i] in BLOCK for i in stack[depth:]):
             events.append((-1, ""))
@@ -77,10 +91,10 @@ def parse(html: str) -> Page:
     while at < size:
         found = _TAG.search(html, at)
         if found is None:
-            events.append((stack[-1], html[at:]))
+            say(html[at:])
             break
         if found.start() > at:
-            events.append((stack[-1], html[at : found.start()]))
+            say(html[at : found.start()])
         at = found.end()
         tag = found[2]
         if tag is None:
@@ -93,6 +107,8 @@ def parse(html: str) -> Page:
                     break
             continue
         if tag in _CLOSES_P:
+            if len(stack) > 1 and tags[stack[1]] == "#text":
+                close_to(1)
             for depth in range(len(stack) - 1, 0, -1):
                 if tags[stack[depth]] == "p":
                     close_to(depth)
@@ -149,6 +165,10 @@ def evidence(page: Page) -> list[list[str]]:
     out = []
     for i in range(n):
         share = linked[i] / size[i] if size[i] else 0
+        if not i:  # the root is the body of a page that has none
+            own = ["root=whole" if {"html", "body"} & set(page.tags) else "root=bare"]
+            out.append(own)
+            continue
         own = [f"size={min(size[i].bit_length(), 13)}", f"links={0 if not linked[i] else 1 + int(share * 3.999)}", f"stops={min(stops[i].bit_length(), 5)}"]
         out.append(own + [f"name={w}" for w in page.names[i]])
     return out
@@ -203,7 +223,6 @@ def marginals(page: Page, model: Model) -> list[float]:
         s = x + y
         below[p] = (x / s, y / s)
     belief = [below[0]] + [(0.0, 1.0)] * (n - 1)
-    belief[0] = (1.0, 0.0)  # what stands outside all elements is no content
     for i in range(1, n):
         p = belief[page.parents[i]]
         # The parent's belief without this child's message, passed down the tie.
@@ -235,7 +254,7 @@ def main_text(html: str | None, model: Model) -> str:
 
 
 def article_labels(page: Page) -> list[bool] | None:
-    """Labels of a page whose main text is marked: all inside its article elements but the pieces named as apart from it."""
+    """Labels of a page whose main text is marked: all inside its article elements but the pieces named as apart from it; never the root."""
     if "article" not in page.tags:
         return None
     out = [False]
@@ -277,11 +296,14 @@ def layout_pages(n: int = 400, seed: int = 0) -> list[str]:
         body = "".join(part() + (apart() if rng.random() < 0.12 else "") for _ in range(rng.randint(1, 9)))
         head = f"<h1{m}>{words(3, 9)}</h1>" if rng.random() < 0.8 else ""
         left, right = rng.choice([("article", "article"), ("article", "article"), ("main", "main"), ('div class="content"', "div"), ('div class="post entry"', "div"), ('div id="story"', "div"), ('section class="article body"', "section")])
-        return f"<{left}{m}>{head}{body}</{right}>"
+        return f"<{left}{m}>{head}{body}</{right}>", head + body
 
     out = []
     for _ in range(n):
-        middle = main()
+        middle, bare = main()
+        if rng.random() < 0.15:  # a fragment: its parts stand where a body would be, some of them as text without an element
+            out.append(MAIN_ROOT + (sentences(1, 6) if rng.random() < 0.5 else "") + bare + (sentences(1, 4) if rng.random() < 0.3 else ""))
+            continue
         if rng.random() < 0.4:
             middle = f'<div class="{rng.choice(["wrap", "container", "page", "row"])}">{middle}{apart() if rng.random() < 0.5 else ""}</div>'
         before, after = ("".join(apart() for _ in range(rng.randint(0, 3))) for _ in range(2))
@@ -291,12 +313,13 @@ def layout_pages(n: int = 400, seed: int = 0) -> list[str]:
 
 
 def marked_labels(html: str) -> tuple[Page, list[bool]]:
-    """A page with ``data-main`` attributes, and the labels that they give."""
-    marks = [False]
+    """A page with ``data-main`` attributes, and the labels that they give; text outside elements has the root's label."""
+    marks = []
     for found in _TAG.finditer(re.sub(r"(?s)(<script>).*?(</script>)", r"\1\2", html)):
         if found[2] and not found[1] and found[2].lower() not in VOID:
             marks.append("data-main" in found[3])
-    return parse(html), marks
+    page, main_root, marks = parse(html), html.startswith(MAIN_ROOT), iter(marks)
+    return page, [main_root if tag in ("#root", "#text") else next(marks) for tag in page.tags]
 
 
 def labelled_pages(pages: DataFrame, sample: int = SAMPLE, longest: int = LONGEST_LABELLED, id_col: str = "page_id", html_col: str = "html") -> list[tuple[Page, list[bool]]]:
