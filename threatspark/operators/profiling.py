@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,30 +30,23 @@ def label_distribution(df: DataFrame, target: str = S.TARGET) -> DataFrame:
     return counts.select("label", "rows", F.round(F.col("rows") * 100 / total, 4).alias("pct"))
 
 
-def describe(df: DataFrame, columns: Sequence[str] | None = None, *, group_rows: int | None = None) -> DataFrame:
-    """Count, mean, std, min, quartiles (linear) and max per column."""
+def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Count, mean, std, min, quartiles (linear) and max per column, in a few passes over the settled rows."""
     columns = list(columns or numeric_columns(df))
-    fields = ["column", "count", "mean", "std", "min", "q25", "median", "q75", "max"]
-    small = df.count() <= (1_000_000 if group_rows is None else group_rows)
-
-    def measures(c: Column) -> list[Column]:
-        out = [
-            F.count(c).alias("count"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).alias("min"),
-            F.max(c).alias("max"),
-        ]
-        return out + [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p")] if small else out
-
-    base = _wide(df, columns, measures)
-    if small:
-        named = {"q25": F.get("_p", 0), "median": F.get("_p", 1), "q75": F.get("_p", 2)}
-        return base.withColumns(named).select(*fields)
-    quartiles = quantile_columns(
-        unpivot(df, columns), ["column"], {"q25": 0.25, "median": 0.5, "q75": 0.75}, group_rows=group_rows
+    rows = skew.settled(df.select(*[q(c) for c in columns]))
+    base = _wide(
+        rows,
+        columns,
+        lambda c: [F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")],
     )
-    return base.join(quartiles, "column", "left").select(*fields)
+    named = _named_quantiles(rows, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    return base.join(named, "column", "left").select("column", "count", "mean", "std", "min", "q25", "median", "q75", "max")
+
+
+def _named_quantiles(rows: DataFrame, columns: Sequence[str], probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of all columns at once as named columns, a row for each group and column."""
+    found = skew.wide_quantiles(rows, columns, sorted(set(probs.values())), by)
+    return found.groupBy(*by, "column").agg(*[F.max(F.when(F.col("prob") == p, F.col("q"))).alias(name) for name, p in probs.items()])
 
 
 def quantile_columns(
@@ -83,29 +77,41 @@ def skew_kurtosis(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 
 def _correlated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``feature_a, feature_b, r`` for all ordered column pairs, in one aggregation.
+    """``feature_a, feature_b, r`` for all ordered column pairs, in two passes over the settled rows.
 
-    A pair uses the rows in which both have a number (gaps are null or NaN); a constant column has no correlation, and
-    neither has any pair of an empty table.
+    The first pass finds means, gaps and constant columns; the second adds up the products of centred values, one plain sum a
+    pair. A pair uses the rows in which both have a number (gaps are null or NaN): only pairs of columns with gaps need their
+    own moments. A constant column has no correlation, and neither has any pair of an empty table.
     """
     names = list(columns)
-    value = {c: F.nanvl(q(c).cast("double"), F.lit(None).cast("double")) for c in names}
-
-    def pair(a: str, b: str) -> Column:
-        x, y = F.when(value[b].isNotNull(), value[a]), F.when(value[a].isNotNull(), value[b])
-        if a == b:
-            return F.when(F.var_pop(x) > 0, 1.0)
-        return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
-
-    pairs = {(a, b): pair(a, b) for i, a in enumerate(names) for b in names[i:]}
-    made = df.agg(*[r.alias(f"r{k}") for k, r in enumerate(pairs.values())])
-    place = {p: f"r{k}" for k, p in enumerate(pairs)}
-    cells = [
-        F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(place.get((a, b)) or place[b, a]).alias("r"))
-        for a in names
-        for b in names
-    ]
-    return made.select(F.inline(F.array(*cells)))
+    value = [F.nanvl(q(c).cast("double"), F.lit(None).cast("double")) for c in names]
+    rows = skew.settled(df.select(*[v.alias(f"x{i}") for i, v in enumerate(value)]))
+    at = range(len(names))
+    parts = [f(f"x{i}").alias(f"{name}{i}") for i in at for name, f in (("n", F.count), ("m", F.avg), ("a", F.min), ("b", F.max))]
+    first = rows.agg(F.count(F.lit(1)).alias("n"), *parts).first()
+    whole = [first[f"n{i}"] == first["n"] for i in at]
+    constant = [first[f"a{i}"] == first[f"b{i}"] for i in at]
+    centred = [F.col(f"x{i}") - F.lit(first[f"m{i}"]) for i in at]
+    wanted = {}
+    for i in at:
+        for j in at[i:]:
+            if first[f"n{i}"] and first[f"n{j}"] and not constant[i] and not constant[j]:
+                plain = whole[i] and whole[j] or i == j
+                wanted[i, j] = F.sum(centred[i] * centred[j]) if plain else F.corr(f"x{i}", f"x{j}")
+    got = rows.agg(F.count(F.lit(1)).alias("n"), *[r.alias(f"r{i}_{j}") for (i, j), r in wanted.items()]).first()  # one number a pair
+    cells = []
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            r, k = None, (min(i, j), max(i, j))
+            if k in wanted and got[f"r{k[0]}_{k[1]}"] is not None:
+                r = got[f"r{k[0]}_{k[1]}"]
+                if i == j:
+                    r = 1.0
+                elif whole[i] and whole[j]:
+                    r = r / (math.sqrt(got[f"r{i}_{i}"]) * math.sqrt(got[f"r{j}_{j}"]))
+                r = None if math.isnan(r) else r
+            cells.append((a, b, r))
+    return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, r double")
 
 
 def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -172,28 +178,23 @@ def drop_advice(df: DataFrame, columns: Sequence[str] | None = None, threshold:
     )
 
 
-def class_statistics(
-    df: DataFrame, columns: Sequence[str], target: str = S.TARGET, *, group_rows: int | None = None
-) -> DataFrame:
+def class_statistics(df: DataFrame, columns: Sequence[str], target: str = S.TARGET) -> DataFrame:
     """Mean, std, min, median and max of every feature per class."""
-    long = unpivot(df, columns, [target]).withColumnRenamed(target, "label")
-    base = long.groupBy("label", "column").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    medians = quantile_columns(long, ["label", "column"], {"median": 0.5}, group_rows=group_rows)
-    return base.join(medians, ["label", "column"], "left").select(
-        "label", "column", "mean", "std", "min", "median", "max"
-    )
+    rows = skew.settled(df.select(q(target).alias("label"), *[q(c) for c in columns]))
+    items = [
+        F.struct(F.lit(c).alias("column"), *[f(q(c).cast("double")).alias(n) for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+        for c in columns
+    ]
+    base = rows.groupBy("label").agg(F.array(*items).alias("_a")).select("label", F.inline("_a"))
+    medians = _named_quantiles(rows, columns, {"median": 0.5}, ["label"])
+    same = base["label"].eqNullSafe(medians["label"]) & (base["column"] == medians["column"])
+    return base.join(medians, same, "left").select(base["label"], base["column"], "mean", "std", "min", "median", "max")
 
 
-def outliers(df: DataFrame, columns: Sequence[str], fence: float = 1.5, *, group_rows: int | None = None) -> DataFrame:
+def outliers(df: DataFrame, columns: Sequence[str], fence: float = 1.5) -> DataFrame:
     """Rows outside the quartile fences per column; none where the quartiles coincide."""
-    quartiles = quantile_columns(
-        unpivot(df, columns), ["column"], {"q1": 0.25, "q3": 0.75}, group_rows=group_rows
-    )
+    df = skew.settled(df.select(*[q(c) for c in columns]))
+    quartiles = _named_quantiles(df, columns, {"q1": 0.25, "q3": 0.75})
     fences = quartiles.agg(
         F.map_from_entries(F.collect_list(F.struct("column", F.struct("q1", "q3")))).alias("f")
     )  # one entry per column

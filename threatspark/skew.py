@@ -12,6 +12,7 @@ the number of chunks is bounded by ``MAX_CHUNKS`` whatever the data looks like.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -291,6 +292,151 @@ def trailing_sums(
     return out.select(*df.columns, *names)
 
 
+def wide_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+    *,
+    band_rows: int = 20_000,
+    accuracy: int = 10_000,
+    most_groups: int = 1_000,
+) -> DataFrame:
+    """Exact linear-interpolated quantiles of many columns at once: ``by``, ``column``, ``prob``, ``q``.
+
+    Nothing is unpivoted: every pass is one aggregation over the rows as they are. The first counts; then a sketch per column
+    encloses all wanted ranks, the rows below each band are counted, and what lies strictly inside a band is gathered once it
+    is at most ``band_rows`` rows, else the band is narrowed again. A value that holds more rows than that becomes an edge of
+    its band and is only counted. Nulls and NaN do not count; a column without numbers has null quantiles. ``df`` is read
+    several times, so give a settled table. Beyond ``most_groups`` groups the columns are unpivoted and treated one by one.
+    """
+    by, columns, probs = list(by), list(columns), [float(p) for p in probs]
+    value = {c: F.nanvl(F.col(f"`{c.replace('`', '``')}`").cast("double"), F.lit(None).cast("double")) for c in columns}
+    wide = df.select(*[F.col(f"`{k}`") for k in by], *[value[c].alias(f"_x{i}") for i, c in enumerate(columns)])
+    xs = range(len(columns))
+    counted = wide.groupBy(*by).agg(*[f(f"_x{i}").alias(f"{name}{i}") for i in xs for name, f in (("_n", F.count), ("_lo", F.min), ("_hi", F.max))])
+    groups = counted.limit(most_groups + 1).collect()
+    if len(groups) > most_groups:
+        items = [F.struct(F.lit(c).alias("column"), F.col(f"_x{i}").alias("value")) for i, c in enumerate(columns)]
+        return exact_quantiles(wide.select(*by, F.inline(F.array(*items))), [*by, "column"], "value", probs)
+
+    # One band for each group, column and pair of neighbouring ranks; the driver holds these few numbers.
+    keys, bands = [tuple(r[k] for k in by) for r in groups], {}
+    for g, r in zip(keys, groups):
+        for i in xs:
+            if r[f"_n{i}"]:
+                for p in probs:
+                    at = p * (r[f"_n{i}"] - 1)
+                    for k in {math.floor(at), math.ceil(at)}:
+                        bands[g, i, k] = dict(lo=r[f"_lo{i}"], hi=r[f"_hi{i}"], below=0, rows=r[f"_n{i}"])
+    found: dict = {}
+    while bands:
+        found |= {b: x["lo"] for b, x in bands.items() if x["lo"] == x["hi"]}
+        bands = {b: x for b, x in bands.items() if b not in found}
+        if bands:
+            _narrow(wide, by, keys, bands, found, band_rows, accuracy)
+    rows = []
+    for g, r in zip(keys, groups):
+        for i, c in enumerate(columns):
+            n = r[f"_n{i}"]
+            for p in probs:
+                at = p * (n - 1)
+                lower, upper = (found[g, i, f(at)] for f in (math.floor, math.ceil)) if n else (None, None)
+                f = at - math.floor(at)
+                q = None if not n else lower if f == 0 else (1 - f) * lower + f * upper
+                rows.append((*g, c, p, q))
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    return df.sparkSession.createDataFrame(rows, ", ".join([*kinds, "column string, prob double, q double"]))
+
+
+def _narrow(wide: DataFrame, by: list[str], keys: list[tuple], bands: dict, found: dict, band_rows: int, accuracy: int) -> None:
+    """One round for all bands: sketch, then count and gather. Moves what is settled from ``bands`` to ``found``."""
+    # Ranks of a group and column share a band, so each pair of edges is looked at once.
+    spans: dict = {}
+    for (g, i, k), x in bands.items():
+        spans.setdefault((g, i), {}).setdefault((x["lo"], x["hi"]), []).append(k)
+    slots = {gi: sorted(s) for gi, s in spans.items()}
+    most = {i: max((len(s) for (_, j), s in slots.items() if j == i), default=0) for i in {i for _, i in slots}}
+    edges = ", ".join(["_g int", *(f"_e{i} array<struct<lo:double,hi:double>>" for i in most)])
+    spark = wide.sparkSession
+
+    def attach(table: dict, kind: str) -> DataFrame:
+        if not by:
+            pair = lambda lo, hi: F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+            return wide.withColumns({"_g": F.lit(0)} | {f"_e{i}": F.array(*[pair(*e) for e in table[(), i]]) for i in most})
+        numbered = spark.createDataFrame([(at, *(table.get((g, i), []) for i in most)) for at, g in enumerate(keys)], kind)
+        named = spark.createDataFrame([(at, *g) for at, g in enumerate(keys)], ", ".join(["_g int", *(f"`_by{n}` {wide.schema[k].dataType.simpleString()}" for n, k in enumerate(by))]))
+        facts = named.join(numbered, "_g")
+        same = [wide[k].eqNullSafe(facts[f"_by{n}"]) for n, k in enumerate(by)]
+        return wide.join(F.broadcast(facts), same)  # one row for each group, of which there are most_groups at most
+
+    sketched = attach(slots, edges)
+    sketches = []
+    for i, n in most.items():
+        for j in range(n):
+            e = F.get(f"_e{i}", j)
+            x = F.when((F.col(f"_x{i}") >= e["lo"]) & (F.col(f"_x{i}") <= e["hi"]), F.col(f"_x{i}"))
+            sketches.append(F.percentile_approx(x, F.array(*[F.lit(q / 1000) for q in range(1001)]), F.lit(accuracy)).alias(f"s{i}_{j}"))
+    grid = {r["_g"]: r for r in sketched.groupBy("_g").agg(*sketches).collect()}
+    tight: dict = {}
+    for at, g in enumerate(keys):
+        for i in most:
+            for j, (lo, hi) in enumerate(slots.get((g, i), ())):
+                points = grid[at][f"s{i}_{j}"]
+                for k in spans[g, i][lo, hi]:
+                    x = bands[g, i, k]
+                    a = math.floor(((k - x["below"]) / x["rows"] - 3 / accuracy) * 1000)
+                    b = math.ceil(((k + 1 - x["below"]) / x["rows"] + 3 / accuracy) * 1000)
+                    tight[g, i, k] = (lo if a <= 0 else points[a], hi if b >= 1000 else points[b])
+    pairs = {(g, i): sorted({t for (h, j, _), t in tight.items() if (h, j) == (g, i)}) for g, i in slots}
+    most = {i: max((len(s) for (_, j), s in pairs.items() if j == i), default=0) for i in most}
+    small = max((x["rows"] for x in bands.values()), default=0) / 1000 * 4 <= band_rows
+    measured = attach(pairs, edges)
+    parts = []
+    for i, n in most.items():
+        x = F.col(f"_x{i}")
+        for j in range(n):
+            e = F.get(f"_e{i}", j)
+            inside = (x > e["lo"]) & (x < e["hi"])
+            parts += [F.count_if(x < e["lo"]).alias(f"l{i}_{j}"), F.count_if(x == e["lo"]).alias(f"a{i}_{j}"), F.count_if(inside).alias(f"m{i}_{j}"), F.count_if((x == e["hi"]) & (e["hi"] > e["lo"])).alias(f"b{i}_{j}")]
+            if small:
+                parts.append(F.array_sort(F.collect_list(F.when(inside, x))).alias(f"v{i}_{j}"))
+    counts = {r["_g"]: r for r in measured.groupBy("_g").agg(*parts).collect()}
+    place = {g: at for at, g in enumerate(keys)}
+    for (g, i, k), (lo, hi) in tight.items():
+        r, j, old = counts[place[g]], pairs[g, i].index((lo, hi)), bands[g, i, k]
+        less, first, inner, last = (r[f"{c}{i}_{j}"] for c in "lamb")
+        if less <= k < less + first:
+            found[g, i, k] = lo
+        elif less + first + inner <= k < less + first + inner + last:
+            found[g, i, k] = hi
+        elif less + first <= k < less + first + inner and small:
+            found[g, i, k] = r[f"v{i}_{j}"][k - less - first]
+        elif less <= k < less + first + inner + last and first + inner + last < old["rows"]:
+            bands[g, i, k] = dict(lo=lo, hi=hi, below=less, rows=first + inner + last)
+            continue
+        else:  # the sketch missed the rank, or cannot tighten the band: count values
+            found[g, i, k] = _ranked(wide, by, g, i, old["lo"], old["hi"], k - old["below"])
+        del bands[g, i, k]
+
+
+def _ranked(wide: DataFrame, by: list[str], group: tuple, i: int, lo: float, hi: float, rank: int) -> float:
+    """The value of a rank inside a band, by halving the band; for the rare case that a sketch is of no use."""
+    rows = wide
+    for k, v in zip(by, group):
+        rows = rows.where(F.col(f"`{k}`").eqNullSafe(F.lit(v)))
+    x = F.col(f"_x{i}")
+    inside = rows.where(x.between(lo, hi))
+    while lo < hi:
+        middle = lo + (hi - lo) / 2
+        upto, top, bottom = inside.agg(F.count_if(x.between(lo, middle)), F.max(F.when(x.between(lo, middle), x)), F.min(F.when((x > middle) & (x <= hi), x))).first()
+        if rank < upto:
+            hi = top
+        else:
+            lo, rank = bottom, rank - upto
+    return lo
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
