@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -42,11 +42,16 @@ def require_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.select(*[q(c) for c in wanted])
 
 
-def conformance(df: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Schema check as a table: missing and extra columns, and whether the count fits."""
-    found = df.columns
+def conformance(df: DataFrame, expected: Sequence[str] | Mapping[str, str]) -> DataFrame:
+    """Schema check as a table: missing and extra columns, columns of another type, and whether the count fits.
+
+    With a mapping the types are checked too; a time stamp with or without zone is ``timestamp``.
+    """
+    found = {f.name: f.dataType.simpleString().removesuffix("_ntz") for f in df.schema}
     rows = [("missing", c) for c in expected if c not in found]
     rows += [("extra", c) for c in found if c not in expected]
+    if isinstance(expected, Mapping):
+        rows += [("type", f"{c}: {found[c]} for {k}") for c, k in expected.items() if c in found and found[c] != k]
     rows.append(("column_count_ok" if len(found) == len(expected) else "column_count_differs", str(len(found))))
     return df.sparkSession.createDataFrame(rows, "finding string, subject string")
 

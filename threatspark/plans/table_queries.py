@@ -10,6 +10,7 @@ from threatspark.operators import (
     calibration as K,
     cleaning as C,
     forest as RF,
+    inference as I,
     isolation as IF,
     profiling as P,
     splitting as SP,
@@ -151,15 +152,32 @@ def anomaly_training_table(spark, path):
     return out.select(*logged)
 
 
+_EXPECTED = {
+    "orders": {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double", "o_orderdate": "timestamp", "o_clerk": "string"},
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint", "url": "string"},
+    "labels": {"doc_id": "bigint", "quality": "bigint", "toxic": "bigint"},
+}
+_KINDS = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'DATE' THEN 'date' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'TIMESTAMP' THEN 'timestamp' ELSE lower(column_type) END"
+_WANTED = ", ".join(f"('{t}', '{c}', '{k}')" for t, cs in _EXPECTED.items() for c, k in cs.items())
+
+
 @query(
     "schema_conformance",
-    """SELECT 'extra' AS finding, 'extra' AS subject, min(1) AS n FROM lineitem UNION ALL SELECT 'missing', 'Flow Packets/s', min(1) FROM lineitem
-    UNION ALL SELECT 'column_count_ok', '14', min(1) FROM lineitem""",
+    "WITH f AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", column_name AS c, {_KINDS} AS k FROM (DESCRIBE SELECT * FROM {t})" for t in _EXPECTED)
+    + f"""), w AS (SELECT * FROM (VALUES {_WANTED}) AS v("table", c, k))
+    SELECT w."table", 'missing' AS finding, w.c AS subject FROM w LEFT JOIN f ON f."table" = w."table" AND f.c = w.c WHERE f.c IS NULL
+    UNION ALL SELECT f."table", 'extra', f.c FROM f LEFT JOIN w ON f."table" = w."table" AND f.c = w.c WHERE w.c IS NULL
+    UNION ALL SELECT f."table", 'type', f.c || ': ' || f.k || ' for ' || w.k FROM f JOIN w ON f."table" = w."table" AND f.c = w.c WHERE f.k <> w.k
+    UNION ALL SELECT "table", CASE WHEN count(*) = (SELECT count(*) FROM w WHERE w."table" = f."table") THEN 'column_count_ok' ELSE 'column_count_differs' END, count(*)::VARCHAR FROM f GROUP BY 1""",
 )
 def schema_conformance(spark, path):
-    raw = C.strip_headers(D.flow_table_raw(spark, path))
-    found = C.conformance(raw, [*FIELDS, S.TARGET, "Flow Packets/s"])
-    return found.withColumn("n", F.lit(1))
+    """Findings of the stored tables against a contract: what their files say, not what a query makes of them."""
+    found = None
+    for name, expected in _EXPECTED.items():
+        one = C.conformance(D.table(spark, path, name), expected).select(F.lit(name).alias("table"), "finding", "subject")
+        found = one if found is None else found.unionAll(one)
+    return found
 
 
 @query(
@@ -531,7 +549,7 @@ def aligned_scores(spark, path):
 # --- models (no SQL form) -----------------------------------------------------------
 def _labelled(spark, path):
     """Embedding vectors as features: label 0 is normal, 1 and 2 attacks, 3 the rare class."""
-    names = [f"x{i}" for i in range(12)]
+    names = [f"x{i}" for i in range(64)]
     kind = F.when(F.col("label") == 3, S.BOTS_LABEL).when(F.col("label") == 1, S.DDOS_LABEL)
     kind = kind.when(F.col("label") == 2, S.SCAN_LABEL).otherwise(S.NORMAL_LABEL)
     rows = D.table(spark, path, "embeddings").select(
@@ -578,12 +596,11 @@ def isolation_nodes(spark, path):
 
 @query("batch_inference")
 def batch_inference(spark, path):
-    """Class, confidence, anomaly score and top features per row, from both models."""
-    from threatspark.operators import rules as R
+    """Class, confidence, anomaly score and top features per row, from models that were trained, calibrated, stored and loaded."""
+    from threatspark.plans.detection_queries import stored_models
 
-    model, rows, names = _fit(spark, path)
-    forest = IF.fit(_normal(rows), names, "vec_id", trees=50)
-    scored = RF.predict(model, forest.score(rows))
-    top = RF.top_features(model, rows)
-    out = scored.withColumn("v", R.model_verdict(-0.447, top)).select("vec_id", "v.*")
-    return rounded(out.withColumn("top_features", F.array_join("top_features", ", ")))
+    rows, names = _labelled(spark, path)
+    grid = K.grid(-0.30, -0.80, -0.001)
+    models = stored_models(spark, path, rows, "vec_id", names, logged=names[:8], forest=dict(trees=20, depth=6, min_leaf=2), isolation=dict(trees=50), thresholds=grid)
+    out = I.classify(rows, models).select("vec_id", "threat_class", "confidence", "anomaly_score", F.array_join("top_features", ", ").alias("top_features"), "model_version")
+    return rounded(out)
