@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -37,16 +38,60 @@ def ngram_model(benign: DataFrame, n: int = S.NGRAM_SIZE, *, check: bool = True)
     return seen.unionByName(unseen)
 
 
+#: Characters of host names; a piece of them has a code, and the model a table by code.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-_"
+#: Longest pieces that get a table by code (38^3 numbers), and most other pieces that a row looks through.
+CODED_SIZE, FEW_PIECES = 3, 200
+
+
+def _code(characters: list[Column]) -> Column:
+    """Place of a piece in the table; null if a character is not of the alphabet."""
+    found = F.lit(0)
+    for c in characters:
+        at = F.nullif(F.call_function("instr", F.lit(ALPHABET), c), F.lit(0)) - 1
+        found = found * len(ALPHABET) + at
+    return found
+
+
 def with_ngram_score(
     domains: DataFrame, model: DataFrame, n: int = S.NGRAM_SIZE, *, only: Column | None = None
 ) -> DataFrame:
     """Add ``ngram_score``, the mean log-probability of the n-grams of the first label.
 
-    ``domains`` must hold each domain once. Rows outside ``only`` are not scored. The n-grams stay with
-    their domain, so the grouping needs no other partitioning than the one the domains have.
+    ``domains`` must hold each domain once. Rows outside ``only`` are not scored. The model is settled once. Pieces of host-name
+    characters are looked up in a table of at most 38^3 numbers, by code and inside the row: nothing is exploded or shuffled.
+    Longer pieces, and models with many pieces of other characters, are joined.
     """
-    unseen = model.where(F.col("gram") == UNSEEN).agg(F.max("logp")).scalar()
+    model = skew.settled(model)
     wanted = F.lit(True) if only is None else only
+    coded = _code([F.substring("gram", k + 1, 1) for k in range(n)])
+    rest = model.where(F.col("gram") != UNSEEN).where(coded.isNull() | (F.length("gram") != n))
+    if n > CODED_SIZE or rest.count() > FEW_PIECES:
+        return _joined_score(domains, model, n, wanted)
+    # At most 38^3 pieces have a code, and few others are left: the driver holds these numbers as constants of the plan.
+    known = model.where((F.col("gram") == UNSEEN) | coded.isNotNull()).select("gram", coded.alias("code"), "logp").collect()
+    base = next((r["logp"] for r in known if r["gram"] == UNSEEN), None)
+    dense = [base] * len(ALPHABET) ** n
+    for r in known:
+        if r["gram"] != UNSEEN:
+            dense[r["code"]] = r["logp"]
+    unseen = F.lit(base).cast("double")
+    table = F.from_json(F.lit(json.dumps(dense)), "array<double>")
+    others = F.from_json(F.lit(json.dumps({r["gram"]: r["logp"] for r in rest.collect()})), "map<string,double>")
+
+    def value(gram: Column) -> Column:
+        code = _code([F.substring(gram, k + 1, 1) for k in range(n)])
+        return F.coalesce(F.when(code.isNotNull(), F.get(table, code)).otherwise(F.element_at(others, gram)), unseen)
+
+    grams = ngrams(first_label(F.col("domain")), n)
+    total = F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + value(g))
+    score = F.when(F.size(grams) > 0, total / F.size(grams)).otherwise(unseen)
+    return domains.withColumn("ngram_score", F.when(wanted, score))
+
+
+def _joined_score(domains: DataFrame, model: DataFrame, n: int, wanted: Column) -> DataFrame:
+    """The same by a join on exploded pieces, which stay with their domain in the grouping."""
+    unseen = model.where(F.col("gram") == UNSEEN).agg(F.max("logp")).scalar()
     grams = F.when(wanted, ngrams(first_label(F.col("domain")), n))
     rows = domains.select("*", wanted.alias("_wanted"), F.explode_outer(grams).alias("gram"))
     scored = rows.join(model.where(F.col("gram") != UNSEEN), "gram", "left")
@@ -305,7 +350,7 @@ def calibrate(
     decimals: int | None = None,
 ) -> DnsCalibration:
     """Build the DNS detector's tables from the malicious and the ranked benign list."""
-    model = ngram_model(ranked, n)
+    model = skew.settled(ngram_model(ranked, n))
     both = malicious.select("domain", F.lit(True).alias("malicious")).unionByName(
         ranked.select("domain", F.lit(False).alias("malicious"))
     )
