@@ -21,6 +21,7 @@ HEADLINE = {
     "flow_features": "events",
     "flows_with_running_cardinalities": "events",
     "flow_decisions": "events",
+    "detection_alerts": "events",
     "volume_drift": "events",
     "dns_query_verdicts": "events",
     "dns_calibration": "events",
@@ -36,6 +37,8 @@ HEADLINE = {
     "exact_split": "orders",
     "threshold_scan": "lineitem",
     "isolation_scores": "embeddings",
+    "forest_predictions": "embeddings",
+    "batch_inference": "embeddings",
 }
 
 

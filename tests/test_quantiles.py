@@ -27,12 +27,13 @@ def frame(spark, n=4000, seed=2):
     return data, spark.createDataFrame(rows, "g string, smooth double, ties double, `mostly zero` double, gaps double, one double, none double").repartition(3)
 
 
-@pytest.mark.parametrize("band_rows", [20_000, 30, 1])
+@pytest.mark.parametrize("band_rows", [None, 20_000, 30, 1])
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_wide_quantiles(spark, band_rows, by):
     data, df = frame(spark)
     columns = list(data.columns[1:])
-    got = skew.wide_quantiles(df, columns, PROBS, by, band_rows=band_rows, accuracy=200 if band_rows < 100 else 10_000).collect()
+    how = {} if band_rows is None else dict(group_rows=0, band_rows=band_rows, accuracy=200 if band_rows < 100 else 10_000)
+    got = skew.wide_quantiles(df, columns, PROBS, by, **how).collect()
     groups = data.groupby("g", dropna=False) if by else [(None, data)]
     want = {}
     for key, part in groups:
@@ -52,7 +53,8 @@ def test_many_groups_and_no_rows(spark):
     got = skew.wide_quantiles(df, ["smooth", "ties"], [0.5], ["g"], most_groups=1).collect()
     assert len(got) == 2 * data["g"].nunique(dropna=False)
     assert skew.wide_quantiles(df.where("false"), ["ties"], [0.5], ["g"]).count() == 0
-    assert [r.q for r in skew.wide_quantiles(df.where("false"), ["ties"], [0.5, 1.0]).collect()] == [None, None]
+    for rows in (0, 10):
+        assert [r.q for r in skew.wide_quantiles(df.where("false"), ["ties"], [0.5, 1.0], group_rows=rows).collect()] == [None, None]
 
 
 def test_a_rank_by_halving(spark):

@@ -301,10 +301,12 @@ def wide_quantiles(
     band_rows: int = 20_000,
     accuracy: int = 10_000,
     most_groups: int = 1_000,
+    group_rows: int = 1_000_000,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of many columns at once: ``by``, ``column``, ``prob``, ``q``.
 
-    Nothing is unpivoted: every pass is one aggregation over the rows as they are. The first counts; then a sketch per column
+    Nothing is unpivoted: every pass is one aggregation over the rows as they are. The first counts. Groups of at most
+    ``group_rows`` rows then take the built-in exact ``percentile`` of all columns in one pass. For larger ones a sketch per column
     encloses all wanted ranks, the rows below each band are counted, and what lies strictly inside a band is gathered once it
     is at most ``band_rows`` rows, else the band is narrowed again. A value that holds more rows than that becomes an edge of
     its band and is only counted. Nulls and NaN do not count; a column without numbers has null quantiles. ``df`` is read
@@ -320,6 +322,14 @@ def wide_quantiles(
         items = [F.struct(F.lit(c).alias("column"), F.col(f"_x{i}").alias("value")) for i, c in enumerate(columns)]
         return exact_quantiles(wide.select(*by, F.inline(F.array(*items))), [*by, "column"], "value", probs)
 
+    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
+    schema = ", ".join([*kinds, "column string, prob double, q double"])
+    if all(r[f"_n{i}"] <= group_rows for r in groups for i in xs):
+        asked = F.array(*[F.lit(p) for p in probs])
+        exact = wide.groupBy(*by).agg(*[F.percentile(f"_x{i}", asked).alias(f"_p{i}") for i in xs]).collect()
+        rows = [(*(r[k] for k in by), c, p, r[f"_p{i}"][j] if r[f"_p{i}"] else None) for r in exact for i, c in enumerate(columns) for j, p in enumerate(probs)]
+        return df.sparkSession.createDataFrame(rows, schema)
+
     # One band for each group, column and pair of neighbouring ranks; the driver holds these few numbers.
     keys, bands = [tuple(r[k] for k in by) for r in groups], {}
     for g, r in zip(keys, groups):
@@ -345,8 +355,7 @@ def wide_quantiles(
                 f = at - math.floor(at)
                 q = None if not n else lower if f == 0 else (1 - f) * lower + f * upper
                 rows.append((*g, c, p, q))
-    kinds = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in by]
-    return df.sparkSession.createDataFrame(rows, ", ".join([*kinds, "column string, prob double, q double"]))
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def _narrow(wide: DataFrame, by: list[str], keys: list[tuple], bands: dict, found: dict, band_rows: int, accuracy: int) -> None:
@@ -392,16 +401,18 @@ def _narrow(wide: DataFrame, by: list[str], keys: list[tuple], bands: dict, foun
     most = {i: max((len(s) for (_, j), s in pairs.items() if j == i), default=0) for i in most}
     small = max((x["rows"] for x in bands.values()), default=0) / 1000 * 4 <= band_rows
     measured = attach(pairs, edges)
-    parts = []
+    # Counting stays in generated code; values are gathered from the few rows that lie strictly inside some band.
+    counters, gathered, any_inside = [], [], F.lit(False)
     for i, n in most.items():
         x = F.col(f"_x{i}")
         for j in range(n):
             e = F.get(f"_e{i}", j)
             inside = (x > e["lo"]) & (x < e["hi"])
-            parts += [F.count_if(x < e["lo"]).alias(f"l{i}_{j}"), F.count_if(x == e["lo"]).alias(f"a{i}_{j}"), F.count_if(inside).alias(f"m{i}_{j}"), F.count_if((x == e["hi"]) & (e["hi"] > e["lo"])).alias(f"b{i}_{j}")]
-            if small:
-                parts.append(F.array_sort(F.collect_list(F.when(inside, x))).alias(f"v{i}_{j}"))
-    counts = {r["_g"]: r for r in measured.groupBy("_g").agg(*parts).collect()}
+            counters += [F.count_if(x < e["lo"]).alias(f"l{i}_{j}"), F.count_if(x == e["lo"]).alias(f"a{i}_{j}"), F.count_if(inside).alias(f"m{i}_{j}"), F.count_if((x == e["hi"]) & (e["hi"] > e["lo"])).alias(f"b{i}_{j}")]
+            gathered.append(F.array_sort(F.collect_list(F.when(inside, x))).alias(f"v{i}_{j}"))
+            any_inside = any_inside | F.coalesce(inside, F.lit(False))
+    counts = {r["_g"]: r for r in measured.groupBy("_g").agg(*counters).collect()}
+    values = {r["_g"]: r for r in measured.where(any_inside).groupBy("_g").agg(*gathered).collect()} if small else {}
     place = {g: at for at, g in enumerate(keys)}
     for (g, i, k), (lo, hi) in tight.items():
         r, j, old = counts[place[g]], pairs[g, i].index((lo, hi)), bands[g, i, k]
@@ -411,7 +422,7 @@ def _narrow(wide: DataFrame, by: list[str], keys: list[tuple], bands: dict, foun
         elif less + first + inner <= k < less + first + inner + last:
             found[g, i, k] = hi
         elif less + first <= k < less + first + inner and small:
-            found[g, i, k] = r[f"v{i}_{j}"][k - less - first]
+            found[g, i, k] = values[place[g]][f"v{i}_{j}"][k - less - first]
         elif less <= k < less + first + inner + last and first + inner + last < old["rows"]:
             bands[g, i, k] = dict(lo=lo, hi=hi, below=less, rows=first + inner + last)
             continue
