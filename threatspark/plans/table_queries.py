@@ -309,14 +309,14 @@ _SOME = FIELDS
     "class_statistics",
     f"{CL} "
     + " UNION ALL ".join(
-        f"""SELECT "Attack Type" AS label, '{c}' AS "column", round(avg("{c}"), 4) AS mean, round(stddev_samp("{c}"), 4) AS std, round(min("{c}"), 4) AS min,
-        round(quantile_cont("{c}", 0.5), 4) AS median, round(max("{c}"), 4) AS max FROM cl GROUP BY 1"""
+        f"""SELECT "Attack Type" AS label, '{c}' AS "column", round(avg("{c}"), 6) AS mean, round(stddev_samp("{c}"), 6) AS std, round(min("{c}"), 6) AS min,
+        round(quantile_cont("{c}", 0.5), 6) AS median, round(max("{c}"), 6) AS max FROM cl GROUP BY 1"""
         for c in _SOME
     ),
 )
 def class_statistics(spark, path):
     out = P.class_statistics(_clean(spark, path), _SOME)
-    return rounded(out, 4)
+    return rounded(out)
 
 
 _FENCED = FIELDS
