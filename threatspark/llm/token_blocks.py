@@ -27,8 +27,8 @@ SHARE = 0.95
 #: A segment is closed by the document that brings it to this many ids.
 SEGMENT_IDS = 1 << 17
 END_ID = 1
-#: A task orders the ids of about so many bytes of text, in a few ranges of documents; ranges are cut at quantiles of the id.
-PART_BYTES = 128 << 20
+#: A task orders the ids of about so many documents, in a few ranges; ranges are cut at quantiles of the id.
+TASK_ROWS = 50_000
 RANGES_A_TASK = 4
 QUANTILES = 2048
 #: Words whose ids a worker remembers before its memory starts anew.
@@ -180,15 +180,15 @@ def _encoder(path: str, words_kept: int) -> Encoder:
 
 
 def _cuts(slim: DataFrame, parts: int | None) -> np.ndarray:
-    """Ids at which a new range of documents begins; ranges are near equal in rows, and as many as the bytes of the texts need."""
+    """Ids at which a new range of documents begins; ranges are near equal in rows, and as many as the rows need. No text is read."""
     quantiles = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 4 * n)
-    cuts, size = slim.agg(quantiles(QUANTILES), F.sum(F.octet_length("data"))).first()
+    cuts, size = slim.select("doc_id").agg(quantiles(QUANTILES), F.count(F.lit(1))).first()
     if cuts is None:
         return np.empty(0, np.int64)
     least = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = parts or RANGES_A_TASK * max(least, -(-(size or 0) // PART_BYTES))
+    wanted = parts or RANGES_A_TASK * max(least, -(-size // TASK_ROWS))
     if wanted > QUANTILES:
-        cuts = slim.agg(quantiles(wanted)).first()[0]
+        cuts = slim.select("doc_id").agg(quantiles(wanted)).first()[0]
     known = len(cuts) + 1
     return np.unique(np.array(cuts, np.int64)[[i * known // wanted - 1 for i in range(1, wanted)]])
 
