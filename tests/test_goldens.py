@@ -517,3 +517,14 @@ def test_dns_calibration_is_saved(spark, tmp_path):
     queries = spark.createDataFrame(rows, "seq long, domain string, query_type string, timestamp timestamp, src_ip string")
     out = cal.classify(queries, seq="seq").orderBy("seq").collect()
     assert [r.reason for r in out[:2]] == ["allowlisted", "blocklist_match"] and out[2].flagged
+
+
+def test_fixed_text_rounds_the_binary_value(spark):
+    values = [0.125, 0.375, 2.5, 8285 / 1e6 * 1000, 6.055, 1.005, 6055000 / 1e6, -0.001, -2.675, 0.0, 1234567.125]
+    values += [i / 1e6 * 1000 for i in range(5, 9995, 10)] + [i / 1e6 for i in range(5000, 9_000_000, 50_000)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double")
+    for digits in (0, 1, 2):
+        got = rows.select("x", A.fixed(F.col("x"), digits).alias("text")).collect()
+        assert [(r.x, r.text) for r in got if r.text != f"{r.x:.{digits}f}"] == []
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double")
+    assert [r.text for r in odd.select(A.fixed(F.col("x"), 2).alias("text")).collect()] == [None, "nan", "inf", "-inf"]

@@ -30,8 +30,15 @@ def severity(threat: Column, confidence: Column) -> Column:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Fixed-point text, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(value.cast("double"), digits))
+    """Fixed-point text of the binary value, as ``printf`` writes it: a tie is one only if the double lies exactly between."""
+    x = value.cast("double")
+    pattern = "0." + "0" * digits if digits else "0"
+    return (
+        F.when(F.isnan(x), "nan")
+        .when(x == float("inf"), "inf")
+        .when(x == float("-inf"), "-inf")
+        .otherwise(F.call_function("format_number", x, F.lit(pattern)))
+    )
 
 
 def percent(value: Column, digits: int) -> Column:
