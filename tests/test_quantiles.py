@@ -76,3 +76,26 @@ def test_correlations_with_gaps(spark):
         else:
             assert abs(r - want.loc[a, b]) < 1e-9, (a, b)
     assert all(r.r is None for r in P._correlated(rows.where("false"), ["smooth", "ties"]).collect())
+
+
+def test_large_groups_stay_where_they_are(spark, monkeypatch):
+    """Rows of a large group meet their band without a shuffle by the group, which would put the group into one task."""
+    plans, join = [], skew._keyed_join
+
+    def seen(left, right, names, how="left"):
+        out = join(left, right, names, how)
+        if how == "inner":
+            plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(skew, "_keyed_join", seen)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(6000).selectExpr("if(id % 10 = 0, 'b', 'a') AS g", "cast((id * 7919) % 6007 AS double) AS value")
+        got = {r.g: r.q for r in skew.exact_quantiles(rows, ["g"], "value", [0.5], group_rows=50).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = pd.DataFrame(rows.collect(), columns=["g", "value"]).groupby("g")["value"].quantile(0.5)
+    assert got == want.to_dict()
+    assert plans and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)

@@ -507,7 +507,8 @@ def exact_quantiles(
             F.when(low <= 0, F.col("_lo")).otherwise(F.get("_grid", low.cast("int"))).alias("_lo2"),
             F.when(high >= 1000, F.col("_hi")).otherwise(F.get("_grid", high.cast("int"))).alias("_hi2"),
         )
-        narrowed = _keyed_join(inside, sketch, grain, how="inner")
+        # One row for each large group and rank, settled so that it can be counted: the rows stay where they are.
+        narrowed = _keyed_join(inside, counted_broadcast(_cut_lineage(sketch)), grain, how="inner")
         measured = narrowed.groupBy(*grain).agg(
             F.sum((F.col("_x") < F.col("_lo2")).cast("long")).alias("_less"),
             F.sum(F.col("_x").between(F.col("_lo2"), F.col("_hi2")).cast("long")).alias("_in2"),
