@@ -206,6 +206,20 @@ def trained(spark):
     return rows, names, I.train(rows, "row", names, **how)
 
 
+def test_training_works_its_rows_out_once(spark):
+    rows, names = made_flows(spark)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    costly = rows.mapInArrow(counted, rows.schema)
+    I.train(costly, "row", names, forest=dict(trees=2, depth=2, min_leaf=1), isolation=dict(trees=4, sample=64), thresholds=calibration.grid(-0.30, -0.90, -0.005))
+    assert seen.value == rows.count()
+
+
 def test_models_come_back_as_they_went(spark, trained, tmp_path):
     rows, names, models = trained
     models.save(str(tmp_path / "m"))

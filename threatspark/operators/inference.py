@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatspark import schemas as S
+from threatspark import schemas as S, skew
 from threatspark.functions.numeric import anomaly_probability
 from threatspark.operators import calibration, forest as RF, isolation as IF, rules
 from threatspark.sources import feeds
@@ -83,8 +83,10 @@ def train(
     """Fit both forests on the training rows and calibrate the threshold on the validation rows.
 
     The isolation forest sees normal traffic only. ``split`` tells 'train' from 'val'; the threshold is the one with the
-    lowest false-positive rate among those that reach the recall of the rare class, and none of them is an error.
+    lowest false-positive rate among those that reach the recall of the rare class, and none of them is an error. ``rows`` are
+    worked out once and stored; the passes over them read the columns they need.
     """
+    rows = skew.stored(rows.select(*map(_column, dict.fromkeys([row_id, *features, target, split]))))
     train_rows = rows.where(_column(split) == "train")
     classes = RF.fit_forest(train_rows, features, target, **(forest or {}))
     scaled = _scaled(features, logged)

@@ -13,6 +13,7 @@ the number of chunks is bounded by ``MAX_CHUNKS`` whatever the data looks like.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -37,6 +38,15 @@ def settled(df: DataFrame) -> DataFrame:
     return _cut_lineage(df)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table in the shared folder of a result that many passes read, a few columns each."""
+    from threatspark.session import ensure_checkpoint_dir
+
+    place = f"{ensure_checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 @dataclass(frozen=True)
 class Chunked:
     """A table whose hot keys are cut into chunks; ``_chunk`` is -1 on all other keys."""
