@@ -50,3 +50,16 @@ def test_odd_rows(spark, odd_docs, no_docs, segment_ids):
     assert [r.n_tokens for r in rows][1:4] == [1, 1, 1]
     assert all(b.start == a.start + a.n_tokens for a, b in zip(rows, rows[1:]))
     assert T.read_documents(T.write(no_docs, path)).collect() == []
+
+
+def test_words_of_latin_letters_go_to_the_model_alone(monkeypatch):
+    tool = T.Encoder(queries.vocabulary())
+    words = "straße élève niño. façon, ﬁn ǆungla ŉ don't naïve; Élan ÉLAN, iİ ıx ſo ʼn ̈a a̧b x9y ñ. œuvre µm ºC ª . , abc, ABC".split()
+    texts = [" ".join(words), "\n".join(reversed(words)), *words]
+    want = [tool.tool.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tool.ids_of([t.encode() for t in texts])] == want
+    alone = T.Encoder(queries.vocabulary())
+    called, real = [], alone.tool
+    monkeypatch.setattr(alone, "tool", type("Only", (), {"model": real.model, "encode_batch_fast": lambda self, *a, **k: called.append(a)})())
+    text = "straße élève niño abc Abc"
+    assert alone.ids(text.encode()).tolist() == real.encode(text, add_special_tokens=False).ids and not called

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -118,24 +119,57 @@ class Encoder:
         self.words_kept = words_kept
         mark = self.tool.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.letters = self._letters()
         if self.ids(self.PROBE.encode()).tolist() != self.tool.encode(self.PROBE, add_special_tokens=False).ids:
             raise ValueError("this tokenizer joins words across white space")
 
+    def _letters(self) -> dict[int, str]:
+        """Small Latin letters and the text that the library's normaliser and pre-tokeniser make of each, if words of them are one piece.
+
+        Such words go straight to the library's model. Empty if letters join in another way, or a special token is made of letters.
+        """
+        tool = self.tool
+        line = "".join(c for c in map(chr, range(0x61, 0x250)) if c.isalpha() and c.islower() and c == c.lower())
+        norm = (lambda x: tool.normalizer.normalize_str(x)) if tool.normalizer else (lambda x: x)
+        if not tool.pre_tokenizer or tool.post_processor:
+            return {}
+        made = {c: tool.pre_tokenizer.pre_tokenize_str(norm(c)) for c in line}
+        table = {ord(c): x[0][0] for c, x in made.items() if norm(c) == c and len(x) == 1}
+        line = "".join(c for c in line if ord(c) in table)
+        if any(x.content.lower().translate({ord(c): None for c in line}) == "" for x in tool.get_added_tokens_decoder().values()):
+            return {}
+        probes = [line, line[::-1], line[1::2] + line[::2]]
+        if any(table[ord(c)] != c for c in line if c.isascii()):
+            return {}
+        whole = all([x for x, _ in tool.pre_tokenizer.pre_tokenize_str(norm(p))] == [p.translate(table)] for p in probes)
+        return table if whole and norm(line) == line else {}
+
+    def _lettered(self, text: str) -> bool:
+        return all(map(self.letters.__contains__, map(ord, text)))
+
     def _fresh(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of different words by one call, without the tokens' places: a mark between the words tells whose they are.
+        """Ids of different words: of small Latin letters by the model alone, of others by one call, where a mark between the words tells
+        whose they are.
 
         Only text with the mark's character can have the mark's id, so words that hold it are given to the call one by one.
         """
-        texts = [w.decode() for w in words]
+        found, others, letters, model = {}, [], self.letters, self.tool.model.tokenize
+        for w in words:
+            t = w.decode()
+            if letters and w.isalpha() and w.islower():
+                found[w] = array("I", [x.id for x in model(t)]).tobytes()
+            elif letters and self._lettered(t):
+                found[w] = array("I", [x.id for x in model(t.translate(letters))]).tobytes()
+            else:
+                others.append((w, t))
         told = self.mark is not None
-        joined = [(w, t) for w, t in zip(words, texts) if told and self.MARK not in t]
-        single = [(w, t) for w, t in zip(words, texts) if not told or self.MARK in t]
-        found = {}
+        joined = [(w, t) for w, t in others if told and self.MARK not in t]
+        single = [(w, t) for w, t in others if not told or self.MARK in t]
         if joined:
             line = np.array(self.tool.encode_batch_fast([f" {self.MARK} ".join(t for _, t in joined)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(line == self.mark).tolist()
             data = line.tobytes()
-            found = {w: data[4 * i + 4 : 4 * j] for (w, _), i, j in zip(joined, [-1, *stops], [*stops, len(line)])}
+            found.update((w, data[4 * i + 4 : 4 * j]) for (w, _), i, j in zip(joined, [-1, *stops], [*stops, len(line)]))
         if single:
             made = self.tool.encode_batch_fast([t for _, t in single], add_special_tokens=False)
             found.update((w, np.array(x.ids, "<u4").tobytes()) for (w, _), x in zip(single, made))
@@ -161,12 +195,12 @@ class Encoder:
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         kept = self.kept
-        # ASCII letters with a stop or comma are the small letters' ids and the mark's: their forms are encoded once.
+        # Latin letters with a stop or comma are the small letters' ids and the mark's: their forms are encoded once.
         parts = {}
         for w in words:
             tail = w[-1:] if w[-1:] in (b".", b",") else b""
             stem = w[: len(w) - len(tail)].lower()
-            parts[w] = (stem, tail) if stem.isalpha() else (w, b"")
+            parts[w] = (stem, tail) if stem.isalpha() or tail and self._lettered(stem.decode()) else (w, b"")
         wanted = {x for pair in parts.values() for x in pair if x and x not in kept}
         fresh = self._fresh(list(wanted))
         find = lambda x: fresh[x] if x in fresh else kept[x]
