@@ -93,6 +93,8 @@ def flow_table_raw(spark: SparkSession, path: str) -> DataFrame:
     no, qty, price, tax, disc = (
         c("l_linenumber"), c("l_quantity"), c("l_extendedprice"), c("l_tax"), c("l_discount"),
     )
+    # As in the SQL: dividing by zero gives an infinity or NaN, and whole numbers come by rounding.
+    rate = F.when(qty == 0, price * F.pow(qty, F.lit(-1.0))).otherwise(price / qty)
     label = (
         F.when((no == 7) & (qty <= 10), "bots")
         .when(c("l_returnflag") == "N", "Normal Traffic")
@@ -105,9 +107,9 @@ def flow_table_raw(spark: SparkSession, path: str) -> DataFrame:
     rows = li.select(
         (c("l_partkey") % 1024).alias(" Destination Port"),
         F.when((no == 7) & (qty < 3), -price).otherwise(price).alias("Flow Duration "),
-        qty.cast("long").alias("Total Fwd Packets"),
+        F.rint(qty).cast("long").alias("Total Fwd Packets"),
         (qty * 2.5).alias("Total Length of Fwd Packets"),
-        F.when((qty == 50) & (tax > 0.07), F.lit(float("inf"))).otherwise(price / qty).alias("Flow Bytes/s"),
+        F.when((qty == 50) & (tax > 0.07), F.lit(float("inf"))).otherwise(rate).alias("Flow Bytes/s"),
         (tax * 100).alias("Fwd Packets/s"),
         F.when((qty == 49) & (no == 4), F.lit(float("nan"))).otherwise(disc * 10).alias("Flow IAT Mean"),
         F.when((qty == 48) & (no == 5), F.lit(None)).otherwise(disc * tax).alias("Flow IAT Std"),
