@@ -106,9 +106,9 @@ class FlowProcessor(KeyedProcessor):
         "n long, bytes long, first long, last long, syn long, least long, gaps long, mean double, m2 double"
     )
 
-    def __init__(self, names: Sequence[str], gap_us: int):
+    def __init__(self, names: Sequence[str], gap_us: int, identity: Sequence[str] = FIVE_TUPLE):
         super().__init__(names, TIME)
-        self.gap = gap_us
+        self.gap, self.identity = gap_us, tuple(identity)
 
     def step(self, value, row):
         t, size, syn = int(row[TIME]), int(row["packet_size"]), int(bool(row["syn_flag"]))
@@ -131,7 +131,7 @@ class FlowProcessor(KeyedProcessor):
     def emit(self, identity: dict, value) -> tuple:
         n, total, first, last, syns, least, gaps, mean, m2 = value
         std = (m2 / (gaps - 1)) ** 0.5 if gaps > 1 else 0.0
-        return (*[identity[c] for c in FIVE_TUPLE], first, last, n, total, syns, least, std)
+        return (*[identity[c] for c in self.identity], first, last, n, total, syns, least, std)
 
     def finish(self, value, last_us):
         self.state.update(value)

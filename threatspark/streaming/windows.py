@@ -121,8 +121,8 @@ class TrailingCounts(TrailingWindow):
 class TrailingDistinct(TrailingWindow):
     """Different values that a key has met: ever, or, with a width, within that time.
 
-    Map state holds when each value was last met. An entry that leaves the window takes its value along only if the value has
-    not been met since.
+    Map state holds when each value was last met; a batch reads a value once and writes it once, at its end. An entry that leaves the
+    window takes its value along only if the value has not been met since.
     """
 
     def __init__(self, handle: StatefulProcessorHandle, name: str, width_us: int | None) -> None:
@@ -134,40 +134,53 @@ class TrailingDistinct(TrailingWindow):
             super().__init__(handle, name, width_us)
 
     def begin(self) -> None:
+        #: Values of this batch: when they were last met before it, and now. None: not met.
+        self.before: dict[str, int | None] = {}
+        self.lasts: dict[str, int | None] = {}
         if self.width is None:
             self.n = self.count.get()[0] if self.count.exists() else 0
         else:
             super().begin()
 
     def finish(self) -> None:
+        for value, last in self.lasts.items():
+            if last is None and self.before[value] is not None:
+                self.met.removeKey((value,))
+            elif last is not None and last != self.before[value]:
+                self.met.updateValue((value,), (last,))
         if self.width is None:
             self.count.update((self.n,))
         else:
             super().finish()
 
+    def _last(self, value: str) -> int | None:
+        """When a value was last met."""
+        if value not in self.lasts:
+            known = self.met.containsKey((value,))
+            self.before[value] = self.lasts[value] = self.met.getValue((value,))[0] if known else None
+        return self.lasts[value]
+
     def add(self, t: int, value: str) -> int:
         """Different values, this one included."""
-        key = (value,)
         if self.width is None:
-            if not self.met.containsKey(key):
-                self.met.updateValue(key, (t,))
+            if self._last(value) is None:
+                self.lasts[value] = t
                 self.n += 1
             return self.n
         self.expire(t - self.width)
-        known = self.met.containsKey(key)
-        if not known:
+        last = self._last(value)
+        if last is None:
             self.totals["n"] = self.totals.get("n", 0) + 1
-        if not known or self.met.getValue(key)[0] < t:
-            self.met.updateValue(key, (t,))
+        if last is None or last < t:
+            self.lasts[value] = t
         self.put(t, value)
         return self.totals["n"]
 
     def expire(self, oldest: int) -> int:
         """Take back what was last met before ``oldest``; the values that remain."""
         for at, value in self.leave(oldest):
-            key = (value,)
-            if self.met.containsKey(key) and self.met.getValue(key)[0] <= at:
-                self.met.removeKey(key)
+            last = self._last(value)
+            if last is not None and last <= at:
+                self.lasts[value] = None
                 self.totals["n"] -= 1
         return self.totals.get("n", 0)
-
